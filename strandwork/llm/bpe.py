@@ -230,8 +230,8 @@ def vocabulary(path: str) -> Bpe:
     return _loaded[path]
 
 
-def encode_and_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids, decoded) of each row: its token ids, and the text that they decode to.
+def encode_and_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", carry_text: bool = False) -> DataFrame:
+    """(id, ids, decoded) of each row: its token ids, and the text that they decode to; with carry_text, also its bytes.
 
     path: a vocabulary file that every executor has (it comes with an installed package).
     """
@@ -242,11 +242,10 @@ def encode_and_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
             texts = [t.decode("utf-8", "replace") for t in batch.column("text").to_pylist()]
             ids, counts = bpe.encode(texts)
             at = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-            yield pa.record_batch(
-                [batch.column("id"), pa.ListArray.from_arrays(pa.array(at), pa.array(ids, pa.int32())), pa.array(bpe.decode(ids, counts), pa.string())],
-                names=["id", "ids", "decoded"],
-            )
+            found = [batch.column("id"), pa.ListArray.from_arrays(pa.array(at), pa.array(ids, pa.int32())), pa.array(bpe.decode(ids, counts), pa.string())]
+            yield pa.record_batch([*found, batch.column("text")][: len(names)], names=names)
 
+    names = ["id", "ids", "decoded", "text"][: 4 if carry_text else 3]
     return docs.select(F.col(id_col).cast("long").alias("id"), as_bytes(text_col).alias("text")).mapInArrow(
-        run, "id long, ids array<int>, decoded string"
+        run, "id long, ids array<int>, decoded string" + (", text binary" if carry_text else "")
     )

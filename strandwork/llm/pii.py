@@ -16,6 +16,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from strandwork.llm.shared import as_bytes, steps
 
@@ -224,18 +225,33 @@ def masked(text: str, found: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: bool = False) -> DataFrame:
-    """docs' rows as (id, spans array of kind, start, end); with mask, also the masked text."""
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs' rows as (id, spans array of kind, start, end)."""
     item = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches):
+            found = [spans(t.decode("utf-8", "replace")) for t in batch.column("text").to_pylist()]
+            listed = pa.array([[{"kind": k, "start": a, "end": b} for a, b, k in f] for f in found], pa.list_(item))
+            yield pa.record_batch([batch.column("id"), listed], names=["id", "spans"])
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), as_bytes(text_col).alias("text")).mapInArrow(
+        run, "id long, spans array<struct<kind:string,start:long,end:long>>"
+    )
+
+
+def mask(docs: DataFrame, text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """docs with the spans of each text masked; length_col follows a changed text. Rows without spans stay as they are."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
             texts = [t.decode("utf-8", "replace") for t in batch.column("text").to_pylist()]
             found = [spans(t) for t in texts]
-            columns = [batch.column("id"), pa.array([[{"kind": k, "start": a, "end": b} for a, b, k in f] for f in found], pa.list_(item))]
-            if mask:
-                columns.append(pa.array([masked(t, f) for t, f in zip(texts, found)], pa.string()))
-            yield pa.record_batch(columns, names=["id", "spans", "masked"][: len(columns)])
-
-    schema = "id long, spans array<struct<kind:string,start:long,end:long>>" + (", masked string" if mask else "")
-    return docs.select(F.col(id_col).cast("long").alias("id"), as_bytes(text_col).alias("text")).mapInArrow(run, schema)
+            yield pa.record_batch(
+                [batch.column("row"), pa.array([masked(t, f) if f else None for t, f in zip(texts, found)], pa.string())], names=["row", "masked"]
+            )
+
+    plain = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), as_bytes(text_col).alias("text"))
+    done = plain.mapInArrow(run, StructType([plain.schema["row"], StructField("masked", StringType())]))
+    new = {text_col: F.col("masked")} | ({length_col: F.char_length("masked").cast(docs.schema[length_col].dataType)} if length_col else {})
+    return done.select(*[(F.coalesce(new[c], F.col(f"row.`{c}`")) if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
