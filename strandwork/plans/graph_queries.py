@@ -128,8 +128,8 @@ def reachable(p: Projected):
     return G.reachable_blocks(_pruned(p))
 
 
-_WALKS = """paths as (select block_group_id, ['1.0.0'] as seen, 1::bigint as node_id, 0::bigint as start, 0::bigint as "end", 0::bigint as at, '' as spelled from (select distinct block_group_id from {t})
- union all select k.block_group_id, list_append(seen, k.target_node_id || '.' || k.target_start || '.' || k.target_end), k.target_node_id, k.target_start, k.target_end, at + k.target_end - k.target_start, '' from paths w
+_WALKS = """paths as (select block_group_id, ['1.0.0'] as seen, 1::bigint as node_id, 0::bigint as start, 0::bigint as "end", 0::bigint as pos, '' as spelled from (select distinct block_group_id from {t})
+ union all select k.block_group_id, list_append(seen, k.target_node_id || '.' || k.target_start || '.' || k.target_end), k.target_node_id, k.target_start, k.target_end, pos + k.target_end - k.target_start, '' from paths w
  join (select distinct block_group_id, source_node_id, source_start, source_end, target_node_id, target_start, target_end from {t}) k on k.block_group_id = w.block_group_id and k.source_node_id = w.node_id and k.source_start = w.start and k.source_end = w."end"
  and not list_contains(seen, k.target_node_id || '.' || k.target_start || '.' || k.target_end))"""
 _SMALL = "small as (select * from pairs where block_group_id % 5 = 0)"
@@ -144,17 +144,17 @@ def simple_paths(p: Projected):
 
 @query(f"""with recursive fwd as (select distinct block_group_id, 1::bigint as node_id, 0::bigint as start from pairs union select k.block_group_id, k.target_node_id, k.target_start from fwd w join pairs k on k.block_group_id = w.block_group_id and k.source_node_id = w.node_id and k.source_start = w.start),
  back as (select distinct block_group_id, 2::bigint as node_id, 0::bigint as start from pairs union select k.block_group_id, k.source_node_id, k.source_start from back w join pairs k on k.block_group_id = w.block_group_id and k.target_node_id = w.node_id and k.target_start = w.start),
- both as (select * from fwd intersect select * from back)
- select distinct p.block_group_id, source_node_id, source_start, source_end, target_node_id, target_start, target_end from pairs p join both a on a.block_group_id = p.block_group_id and a.node_id = source_node_id and a.start = source_start
- join both b on b.block_group_id = p.block_group_id and b.node_id = target_node_id and b.start = target_start""")
+ inn as (select * from fwd intersect select * from back)
+ select distinct p.block_group_id, source_node_id, source_start, source_end, target_node_id, target_start, target_end from pairs p join inn a on a.block_group_id = p.block_group_id and a.node_id = source_node_id and a.start = source_start
+ join inn b on b.block_group_id = p.block_group_id and b.node_id = target_node_id and b.start = target_start""")
 def intermediate_edges(p: Projected):
     return G.links_between(B.graph(p.edges()))
 
 
 @query(f"""with recursive {_SMALL}, steps2 as (select distinct block_group_id, source_node_id, source_start, source_end, target_node_id, target_start, target_end from small),
- walk as (select distinct block_group_id, 1::bigint as node_id, 0::bigint as start, 0::bigint as "end", 0::bigint as at from steps2
- union select k.block_group_id, k.target_node_id, k.target_start, k.target_end, w.at + k.target_end - k.target_start from walk w join steps2 k on k.block_group_id = w.block_group_id and k.source_node_id = w.node_id and k.source_start = w.start and k.source_end = w."end")
- select block_group_id, node_id, start, "end", at - ("end" - start) as path_start, at as path_end from walk where node_id > 2""")
+ walk as (select distinct block_group_id, 1::bigint as node_id, 0::bigint as start, 0::bigint as "end", 0::bigint as pos from steps2
+ union select k.block_group_id, k.target_node_id, k.target_start, k.target_end, w.pos + k.target_end - k.target_start from walk w join steps2 k on k.block_group_id = w.block_group_id and k.source_node_id = w.node_id and k.source_start = w.start and k.source_end = w."end")
+ select block_group_id, node_id, start, "end", pos - ("end" - start) as path_start, pos as path_end from walk where node_id > 2""")
 def flatten_intervals(p: Projected):
     return G.placements(B.graph(p.edges()).where("block_group_id % 5 = 0"))
 

@@ -56,7 +56,7 @@ class Projected:
 
     def edges(self, skips: bool = True) -> DataFrame:
         """Edges with their group and layer: the path's own (layer 0), and for lines of status F one that leaves the node at half its
-        length for the node after the next, with a healing edge there."""
+        length for the node after the next, on a layer of their own unless their number is divisible by 3, with a healing edge there."""
         order = W.partitionBy("path_id").orderBy("idx")
         s = self.steps().withColumn("nxt", F.lead(F.struct("node_id", "strand")).over(order)).withColumn("after", F.lead(F.struct("node_id", "strand"), 2).over(order))
         half = F.greatest(F.lit(1).cast("long"), F.floor(F.col("length") / 2))
@@ -70,7 +70,7 @@ class Projected:
         own = (F.col("node_id"), F.col("strand"))
         first = row(z, F.lit(START_NODE).cast("long"), z, plus, own[0], z, own[1], z)
         on = row(idx + 1, own[0], F.col("length"), own[1], F.coalesce("nxt.node_id", F.lit(END_NODE).cast("long")), z, F.coalesce("nxt.strand", plus), z)
-        skip = row(idx + 2000, own[0], half, own[1], F.col("after.node_id"), z, F.col("after.strand"), F.col("line"))
+        skip = row(idx + 2000, own[0], half, own[1], F.col("after.node_id"), z, F.col("after.strand"), F.when(F.col("line") % 3 == 0, z).otherwise(F.col("line")))
         heal = row(idx + 4000, own[0], half, own[1], own[0], half, own[1], z)
         has = (F.col("status") == "F") & F.col("after").isNotNull()
         if not skips:
@@ -112,7 +112,7 @@ backbone as (
     node_id as target_node_id, 0 as target_coordinate, strand as target_strand, 0 as chromosome_index, 0 as phased from w where idx = 0
   union all select path_id, path_id * 10000 + idx + 1, idx + 1, node_id, length, strand, coalesce(n1, 2), 0, coalesce(s1, '+'), 0, 0 from w),
 edges as (select * from backbone
-  union all select path_id, path_id * 10000 + idx + 2000, null, node_id, half, strand, n2, 0, s2, line, 0 from w where status = 'F' and n2 is not null
+  union all select path_id, path_id * 10000 + idx + 2000, null, node_id, half, strand, n2, 0, s2, case when line % 3 = 0 then 0 else line end, 0 from w where status = 'F' and n2 is not null
   union all select path_id, path_id * 10000 + idx + 4000, null, node_id, half, strand, node_id, half, strand, 0, 0 from w where status = 'F' and n2 is not null and half < length),
 pblocks as (select path_id, idx as block, node_id, 0 as start, length as "end", strand, part, line, status,
   cast(sum(length) over (partition by path_id order by idx) as bigint) - length as path_start, cast(sum(length) over (partition by path_id order by idx) as bigint) as path_end from steps),
