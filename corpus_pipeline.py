@@ -28,7 +28,8 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     found = simhash.near_duplicates(docs).where("id is not null")
     ids = kept(found.groupBy("id").agg(F.min("component").alias("component"), F.count(F.lit(1)).alias("n")), "dedup-ids")
     dropped = ids.where("component != id").select(F.col("id").alias("doc_id"))
-    stay = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    # one plan at every size: without the hint small inputs would broadcast the ids and only large ones move the texts
+    stay = docs.join(dropped.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
     again = ids.where("n > 1").select(F.col("id").alias("doc_id"))
     if again.isEmpty():
         return stay
