@@ -11,11 +11,12 @@ some forty. An anchor owns the run of windows that chose it.
    order are compared. A batch sends one row for each K-gram that it holds several times, so a K-gram of a third of
    all documents is a row for each batch.
 2. The other anchors are sent with the bytes of their windows (their suffix, and what stands before it). Of equal ones
-   in a batch the earliest goes on; the others are repeated as a whole.
+   in a batch the earliest goes on; the others are repeated as a whole and go on as merged stretches.
 3. Sampled splitters range-partition these suffixes by their leading bytes. Each bucket sorts its suffixes by multikey
    quicksort, eight bytes at a time, and compares the windows of neighbours that share a K-gram.
-4. Compare across boundaries: K-grams at the edge of a bucket, and those with more than MOST suffixes, go on as hashes of
-   their single windows, of which the earliest is found by a grouped minimum, so no group meets in one task.
+4. Compare across boundaries: for K-grams at the edge of a bucket, and those with more than MOST suffixes, the windows that
+   are the first of their kind in a bucket or a part of it go on as hashes, of which the earliest is found by a grouped
+   minimum, so no group meets in one task.
 
 Null and empty texts have no bytes. A null id sorts before all others. Rows equal in id and text are one document and
 get the same result; rows that share an id but not the text are told apart, and ordered, by a hash of the text.
@@ -34,10 +35,12 @@ from pyspark.sql import functions as F
 
 from strandwork.llm.shared import as_bytes, concat_ranges, flat, kept, steps
 
-LENGTH, K = 100, 24
+LENGTH, K = 100, 16
 GRAMS = LENGTH - K + 1  # K-grams in a window
 #: Suffixes with one K-gram that a bucket compares by itself.
-MOST = 4000
+MOST = 16_000
+#: Bytes of text, and of compressed text, that a step holds some arrays or copies of.
+STEP, STEP_Z = 2 << 20, 2 << 20
 NO_ID = -(1 << 63)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -112,7 +115,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     """(id, packed) of the anchors whose K-gram hash occurs more than once. docs: (id, text as bytes)."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches):
+        for batch in steps(batches, most=STEP):
             ids = batch.column("id").to_numpy()
             versions = np.array([version(t) for t in batch.column("text").to_pylist()], np.int64)
             hashes, text, place, far, near = anchors(*flat(batch.column("text")))
@@ -172,12 +175,13 @@ def compressed(docs: DataFrame) -> DataFrame:
 def suffixes(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """(suffix, before, id, packed): what each candidate's windows hold from the anchor on, and before it.
 
-    A row without ``before`` is an anchor all of whose windows are repeated already; its suffix spreads the rows.
+    A row without ``before`` is a stretch that is known to be repeated: packed has its start, and its suffix is a hash, which
+    spreads such rows, and its end.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor().decompress
-        for batch in steps(batches, "z", 1 << 20):
+        for batch in steps(batches, "z", STEP_Z):
             seen: dict[tuple[bytes, bytes], tuple[int, int]] = {}
             done: list[tuple[int, int]] = []
             for own, z, numbers in zip(batch.column("id").to_pylist(), batch.column("z").to_pylist(), batch.column("anchors")):
@@ -195,13 +199,18 @@ def suffixes(docs: DataFrame, chosen: DataFrame) -> DataFrame:
                             done.append(before)
                         else:
                             done.append((own, packed))
-            spread = [xxhash.xxh3_64_digest(b"%d %d" % d) for d in done]
+            by_text: dict[tuple[int, int], list[tuple[int, int]]] = {}
+            for own, packed in done:
+                v, place, far, near = unpack(packed)
+                by_text.setdefault((own, v), []).append((place - far, place - near + LENGTH))
+            known = [(own, v, a, b) for (own, v), found in by_text.items() for a, b in merged(*np.array(found).T)]
+            ends = [xxhash.xxh3_64_digest(b"%d %d %d" % k[:3]) + k[3].to_bytes(8) for k in known]
             yield pa.record_batch(
                 [
-                    pa.array([w[0] for w in seen] + spread, pa.binary()),
-                    pa.array([w[1] for w in seen] + [None] * len(done), pa.binary()),
-                    pa.array([d[0] for d in seen.values()] + [d[0] for d in done], pa.int64()),
-                    pa.array([d[1] for d in seen.values()] + [d[1] for d in done], pa.int64()),
+                    pa.array([w[0] for w in seen] + ends, pa.binary()),
+                    pa.array([w[1] for w in seen] + [None] * len(known), pa.binary()),
+                    pa.array([d[0] for d in seen.values()] + [k[0] for k in known], pa.int64()),
+                    pa.array([d[1] for d in seen.values()] + [pack(k[1], k[2], 0, 0) for k in known], pa.int64()),
                 ],
                 names=["suffix", "before", "id", "packed"],
             )
@@ -234,26 +243,27 @@ def as_words(values: list[bytes], size: int) -> np.ndarray:
     return np.frombuffer(b"".join(v.ljust(size, b"\0") for v in values), ">u8").reshape(len(values), size // 8).astype(np.uint64)
 
 
-def repeated_runs(group: list[tuple[tuple[int, int], bytes, bytes]]) -> Iterator[tuple[int, int, int, int]]:
-    """(id, version, start, end) of the repeated stretches of suffixes with one K-gram."""
+def compare_windows(group: list[tuple[tuple[int, int], bytes, bytes]]) -> tuple[list[tuple], list[tuple]]:
+    """Of suffixes with one K-gram: the repeated stretches (id, version, start, end), and (id, version, start, window) of all first windows."""
     seen: set[bytes] = set()
+    runs, firsts = [], []
     for (own, packed), suffix, before in sorted(group):
         v, place, far, near = unpack(packed)
-        whole, width = before + suffix, len(before)
-        run = None
+        whole, run = before + suffix, None
         for k in range(far - near + 1):  # windows from the earliest on
-            at = k + width - far
-            window = whole[at : at + LENGTH]
+            window = whole[k : k + LENGTH]
             if window in seen:
                 run = run or [place - far + k, 0]
                 run[1] = place - far + k + LENGTH
             else:
                 seen.add(window)
+                firsts.append((own, v, place - far + k, window))
                 if run:
-                    yield own, v, *run
+                    runs.append((own, v, *run))
                 run = None
         if run:
-            yield own, v, *run
+            runs.append((own, v, *run))
+    return runs, firsts
 
 
 def compare_buckets(rows: DataFrame) -> DataFrame:
@@ -265,8 +275,8 @@ def compare_buckets(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for s, b, i, p in zip(*(batch.column(c).to_pylist() for c in ("suffix", "before", "id", "packed"))):
                 if b is None:
-                    v, place, far, near = unpack(p)
-                    out.append((i, v, place - far, place - near + LENGTH, None, None))
+                    v, start, _, _ = unpack(p)
+                    out.append((i, v, start, int.from_bytes(s[8:]), None, None))
                 else:
                     suffix.append(s)
                     before.append(b)
@@ -278,20 +288,19 @@ def compare_buckets(rows: DataFrame) -> DataFrame:
             lead = words[order, : K // 8]
             edge = np.flatnonzero(np.concatenate([[True], (lead[1:] != lead[:-1]).any(axis=1), [True]])).tolist()
             for a, b in zip(edge, edge[1:]):
-                rows_ = order[a:b].tolist()
-                group = [((ids[r], packed[r]), suffix[r], before[r]) for r in rows_]
-                if a == 0 or b == len(order) or b - a > MOST:
-                    for (own, p), s, left in group:
-                        v, place, far, near = unpack(p)
-                        whole = left + s
-                        for k in range(far - near + 1):
-                            h = xxhash.xxh3_128_intdigest(whole[k : k + LENGTH])
-                            out.append((own, v, place - far + k, place - far + k + LENGTH, (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63)))
-                            if len(out) >= 1 << 16:
-                                yield table(out)
-                                out = []
-                elif b - a > 1:
-                    out += [(*found, None, None) for found in repeated_runs(group)]
+                group = sorted(((ids[r], packed[r]), suffix[r], before[r]) for r in order[a:b].tolist())
+                edge_group = a == 0 or b == len(order) or b - a > MOST
+                if b - a == 1 and not edge_group:
+                    continue
+                for at in range(0, len(group), MOST):
+                    runs, firsts = compare_windows(group[at : at + MOST])
+                    out += [(*found, None, None) for found in runs]
+                    for own, v, start, window in firsts if edge_group else ():
+                        h = xxhash.xxh3_128_intdigest(window)
+                        out.append((own, v, start, start + LENGTH, (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63)))
+                        if len(out) >= 1 << 16:
+                            yield table(out)
+                            out = []
         yield table(out)
 
     def table(out: list[tuple]) -> pa.RecordBatch:
