@@ -107,29 +107,32 @@ def unpack(packed):
     return packed >> 45, (packed >> 14) & ((1 << 31) - 1), (packed >> 7) & 127, packed & 127
 
 
-def version(text: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(text) >> 46
+def version(text: bytes, told_apart: bool = True) -> int:
+    """What tells rows of one id apart, where any id is repeated."""
+    return xxhash.xxh3_64_intdigest(text) >> 46 if told_apart else 0
 
 
-def candidates(docs: DataFrame) -> DataFrame:
+def candidates(docs: DataFrame, told_apart: bool = True) -> DataFrame:
     """(id, packed) of the anchors whose K-gram hash occurs more than once. docs: (id, text as bytes)."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, most=STEP):
             ids = batch.column("id").to_numpy()
-            versions = np.array([version(t) for t in batch.column("text").to_pylist()], np.int64)
+            versions = np.array([version(t, told_apart) for t in batch.column("text").to_pylist()], np.int64)
             hashes, text, place, far, near = anchors(*flat(batch.column("text")))
+            hashes = hashes >> np.uint64(16)  # 48 bits ask for a K-gram: a chance match is one more candidate to compare
             packed = pack(versions[text], place, far, near)
             order = np.argsort(hashes, kind="stable")
+            own_key = mixed(ids.view(np.uint64)).view(np.int64)[text[order]]
             hashes, ids, packed = hashes[order].view(np.int64), ids[text[order]], packed[order]
             edge = np.concatenate([[True], hashes[1:] != hashes[:-1], [True]]) if len(hashes) else np.ones(1, bool)
             first, twice = edge[:-1], ~(edge[:-1] & edge[1:])
-            # one row asks for each K-gram; those met twice in this batch are candidates already and are dealt evenly
+            # one row asks for each K-gram; those met twice in this batch are candidates already and are dealt by their text
             asks, known = np.flatnonzero(first), np.flatnonzero(twice)
-            spread = mixed(packed[known].view(np.uint64) + ids[known].view(np.uint64)).view(np.int64)
+            known = known[np.lexsort((packed[known], ids[known]))]
             yield pa.record_batch(
                 [
-                    pa.array(np.concatenate([hashes[asks], spread])),
+                    pa.array(np.concatenate([hashes[asks], own_key[known]])),
                     pa.array(np.concatenate([ids[asks], ids[known]])),
                     pa.array(np.concatenate([packed[asks], -1 - packed[known]])),  # below zero: a candidate already
                 ],
@@ -161,18 +164,48 @@ def candidates(docs: DataFrame) -> DataFrame:
     return sent.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "id long, packed long")
 
 
-def compressed(docs: DataFrame) -> DataFrame:
+class Zstd:
+    """A zstd codec with a dictionary of a few texts, which short texts need to compress well. It loses nothing."""
+
+    def __init__(self, texts: DataFrame, most: int = 1 << 16):
+        rows = texts.where(F.octet_length("text").between(200, 1 << 13)).orderBy(F.xxhash64("id"), "id").limit(64).collect()
+        self.sample, self.level = b"".join(bytes(r.text) for r in rows)[:most], 6
+
+    def __reduce__(self):
+        return _zstd, (self.sample, self.level)
+
+    def dictionary(self):
+        if not self.sample:
+            return {}
+        found = zstandard.ZstdCompressionDict(self.sample, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        found.precompute_compress(level=self.level)
+        return {"dict_data": found}
+
+    def press(self):
+        return zstandard.ZstdCompressor(level=self.level, **self.dictionary()).compress
+
+    def expand(self):
+        return zstandard.ZstdDecompressor(**self.dictionary()).decompress
+
+
+def _zstd(sample: bytes, level: int) -> Zstd:
+    out = Zstd.__new__(Zstd)
+    out.sample, out.level = sample, level
+    return out
+
+
+def compressed(docs: DataFrame, codec: Zstd) -> DataFrame:
     """(id, z): the text as a zstd frame, which is what the joins by id move."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=3).compress
+        press = codec.press()
         for batch in steps(batches):
             yield pa.record_batch([batch.column("id"), pa.array([press(t) for t in batch.column("text").to_pylist()], pa.binary())], names=["id", "z"])
 
     return docs.mapInArrow(run, "id long, z binary")
 
 
-def suffixes(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+def suffixes(docs: DataFrame, chosen: DataFrame, codec: Zstd, told_apart: bool = True) -> DataFrame:
     """(suffix, before, id, packed): what each candidate's windows hold from the anchor on, and before it.
 
     A row without ``before`` is a stretch that is known to be repeated: packed has its start, and its suffix is a hash, which
@@ -180,13 +213,13 @@ def suffixes(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        expand = zstandard.ZstdDecompressor().decompress
+        expand = codec.expand()
         for batch in steps(batches, "z", STEP_Z):
             seen: dict[tuple[bytes, bytes], tuple[int, int]] = {}
             done: list[tuple[int, int]] = []
             for own, z, numbers in zip(batch.column("id").to_pylist(), batch.column("z").to_pylist(), batch.column("anchors")):
                 text = expand(z)
-                mine = version(text)
+                mine = version(text, told_apart)
                 for packed in np.unique(numbers.values.to_numpy()).tolist():
                     v, place, far, near = unpack(packed)
                     if v != mine:
@@ -310,9 +343,9 @@ def compare_buckets(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, ", ".join(f"`{n}` long" for n in names))
 
 
-def spans(docs: DataFrame, packed_docs: DataFrame) -> DataFrame:
+def spans(docs: DataFrame, packed_docs: DataFrame, codec: Zstd, told_apart: bool = True) -> DataFrame:
     """(id, version, start, end): stretches to remove, overlapping and in any order."""
-    ordered = suffixes(packed_docs, candidates(docs)).repartitionByRange("suffix", "before")
+    ordered = suffixes(packed_docs, candidates(docs, told_apart), codec, told_apart).repartitionByRange("suffix", "before")
     found = kept(compare_buckets(ordered), "repeats")
     open_ = found.where("h1 is not null")
     first = open_.groupBy("h1", "h2").agg(F.min(F.struct("id", "version", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -323,12 +356,14 @@ def spans(docs: DataFrame, packed_docs: DataFrame) -> DataFrame:
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs' rows as (id, n_bytes, spans, kept): the maximal removed runs, and the bytes that stay."""
     plain = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), as_bytes(text_col).alias("text"))
-    packed_docs = compressed(plain)
-    cuts = spans(plain.where(F.octet_length("text") >= LENGTH), packed_docs).groupBy("id").agg(F.collect_list(F.struct("version", "start", "end")).alias("cuts"))
+    told_apart = not plain.groupBy("id").count().where("count > 1").isEmpty()
+    codec = Zstd(plain)
+    packed_docs = compressed(plain, codec)
+    cuts = spans(plain.where(F.octet_length("text") >= LENGTH), packed_docs, codec, told_apart).groupBy("id").agg(F.collect_list(F.struct("version", "start", "end")).alias("cuts"))
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        expand = zstandard.ZstdDecompressor().decompress
+        expand = codec.expand()
         for batch in steps(batches, "z", 1 << 20):
             ids, sizes, runs, rest = [], [], [], []
             cuts_ = batch.column("cuts")
@@ -337,7 +372,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 found = []
                 if cuts_[k].is_valid:
                     v, start, end = (cuts_[k].values.field(c).to_numpy() for c in ("version", "start", "end"))
-                    mine = v == version(text)
+                    mine = v == version(text, told_apart)
                     found = merged(start[mine], end[mine])
                 ids.append(None if own == NO_ID else own)
                 sizes.append(len(text))
