@@ -1,4 +1,4 @@
-"""A training corpus in five stages, each applied to all that the one before it kept.
+"""A training corpus in six stages, each applied to all that the one before it kept.
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return
 the columns of documents. run() applies them to documents, writing each stage's rows and reading them again.
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandwork.llm import bpe, decontaminate, pii, simhash, toxicity
+from strandwork.llm import bpe, decontaminate, near, pii, simhash, toxicity
 from strandwork.llm.queries import vocabulary_path
 from strandwork.llm.shared import kept, read
 
@@ -48,6 +48,13 @@ def with_masked_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return pii.mask(docs, length_col="n_chars" if "n_chars" in docs.columns else None)
 
 
+def without_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group linked by a Jaccard similarity of 0.8 or more of five-word shingles."""
+    found = near.near_copies(docs)
+    dropped = kept(found.select(F.col("id").alias("doc_id")).distinct(), "similar-ids")
+    return docs.join(dropped.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+
+
 def with_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, the text's token ids, their number, and whether they decode to the text again."""
     found = bpe.encode_and_decode(docs, vocabulary_path(), carry_text=True)
@@ -64,6 +71,7 @@ STAGES = [
     ("simhash_dedup", without_near_copies),
     ("decontaminate", without_benchmark),
     ("pii", with_masked_pii),
+    ("near_copies", without_similar),
     ("bpe", with_tokens),
 ]
 
