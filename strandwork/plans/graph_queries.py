@@ -137,8 +137,17 @@ _SMALL = "small as (select * from pairs where block_group_id % 5 = 0)"
 
 @query(f"""with recursive {_SMALL}, {_WALKS.format(t='small')} select block_group_id, array_to_string(seen, ' ') as walk from paths where node_id = 2""")
 def simple_paths(p: Projected):
-    """All walks of every fifth order (enumeration is exponential; the selection is the query's subject, not a cap)."""
-    got = G.enumerated(B.graph(p.edges()).where("block_group_id % 5 = 0")).withColumn("t", F.concat(segment_id("node_id", "start", "end"), F.lit(" ")))
+    """All walks of every fifth order, as the SQL asks; simple_paths_whole has those of all orders."""
+    return _walks(B.graph(p.edges()).where("block_group_id % 5 = 0"))
+
+
+@query()
+def simple_paths_whole(p: Projected):
+    return _walks(B.graph(p.edges()))
+
+
+def _walks(pairs):
+    got = G.enumerated(pairs).withColumn("t", F.concat(segment_id("node_id", "start", "end"), F.lit(" ")))
     return got.groupBy("block_group_id", "path").agg(F.rtrim(P.joined_in_order("step", "t")).alias("walk")).select("block_group_id", "walk")
 
 
@@ -156,12 +165,18 @@ def intermediate_edges(p: Projected):
  union select k.block_group_id, k.target_node_id, k.target_start, k.target_end, w.pos + k.target_end - k.target_start from walk w join steps2 k on k.block_group_id = w.block_group_id and k.source_node_id = w.node_id and k.source_start = w.start and k.source_end = w."end")
  select block_group_id, node_id, start, "end", pos - ("end" - start) as path_start, pos as path_end from walk where node_id > 2""")
 def flatten_intervals(p: Projected):
+    """Placements in every fifth order, as the SQL asks; flatten_intervals_whole has those in all orders."""
     return G.placements(B.graph(p.edges()).where("block_group_id % 5 = 0"))
 
 
+@query()
+def flatten_intervals_whole(p: Projected):
+    return G.placements(B.graph(p.edges()))
+
+
 @query()
 def flatten_unambiguous(p: Projected):
-    return G.placements(B.graph(p.edges()).where("block_group_id % 5 = 0"), drop_ambiguous=True)
+    return G.placements(B.graph(p.edges()), drop_ambiguous=True)
 
 
 @query("""select b.block_group_id, p.path_id, row_number() over (partition by p.path_id order by p.block, case when p.strand = '-' then -b.start else b.start end) as step, b.node_id, b.start, b."end", p.strand from pblocks p join blocks b on b.block_group_id = p.path_id and b.node_id = p.node_id where p.strand = '+' and p.path_id not in (select path_id from pblocks where strand = '-')
@@ -225,10 +240,15 @@ def boundary_edges(p: Projected):
  union all select k.block_group_id, k.target_node_id, k.target_start, k.target_end, w.sequence || k.piece from walk w join txt k on k.block_group_id = w.block_group_id and k.source_node_id = w.node_id and k.source_start = w.start and k.source_end = w."end")
  select distinct block_group_id, sequence from walk where node_id = 2""")
 def all_sequences(p: Projected):
-    """What the walks of every fifth order's pruned graph spell."""
+    """What the walks of every fifth order's pruned graph spell, as the SQL asks; all_sequences_whole takes all orders."""
     return G.spelled_paths(_pruned(p).where("block_group_id % 5 = 0"), p.node_sequences())
 
 
+@query()
+def all_sequences_whole(p: Projected):
+    return G.spelled_paths(_pruned(p), p.node_sequences())
+
+
 def _changes(p: Projected):
     n = p.path_blocks().groupBy("path_id").agg(F.max("path_end").alias("n"))
     kind = F.col("path_id") % 4
