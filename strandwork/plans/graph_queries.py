@@ -189,6 +189,13 @@ def project_path(p: Projected):
     return G.projected_paths(B.graph(p.edges()).join(plus.select("block_group_id").distinct(), "block_group_id", "left_semi"), plus)
 
 
+@query()
+def project_path_whole(p: Projected):
+    """All paths, those with minus strands too (project_path leaves these out, as its SQL does)."""
+    b = p.path_blocks().select(F.col("path_id").alias("block_group_id"), "path_id", "block", "node_id", "start", "end", "strand")
+    return G.projected_paths(B.graph(p.edges()), b)
+
+
 @query("""with recursive e as (select block_group_id as g, source_node_id as a, target_node_id as b from pairs where source_node_id <> 1 and target_node_id <> 2 and edge_id % 10 <> 3),
  walk as (select distinct g, a as root, a as node from (select g, a from e union select g, b from e) union select w.g, w.root, x.b from walk w join (select g, a, b from e union select g, b, a from e) x on x.g = w.g and x.a = w.node)
  select g as block_group_id, node, min(root) as component from walk group by 1, 2""")

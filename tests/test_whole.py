@@ -4,6 +4,8 @@ import duckdb
 import pytest
 
 from strandwork import catalog
+from strandwork.operators import blocks as B
+from strandwork.plans.project import Projected
 from tests.test_queries import TABLES, plain
 
 #: The whole query, the query whose SQL is taken, and the selection that is cut out of it.
@@ -43,3 +45,29 @@ def test_unambiguous_placements_of_all_orders(spark, sf):
     got = rows_of(spark, sf, "flatten_unambiguous")
     assert {((r.block_group_id, r.node_id), place(r)) for r in got} == want and len(got) == len(want)
     assert {r.block_group_id % 5 for r in got} == set(range(5))
+
+
+def test_projection_of_all_paths(spark, sf):
+    """A path's walk is each node's blocks in the direction of its strand, if the graph links them all."""
+    p = Projected(spark, sf)
+    links, inner = set(), {}
+    for r in B.graph(p.edges()).drop("layers").collect():
+        s, t = (r.source_node_id, r.source_start, r.source_end), (r.target_node_id, r.target_start, r.target_end)
+        links.add((r.block_group_id, s, t))
+        for b in (s, t):
+            inner.setdefault((r.block_group_id, b[0]), set()).add(b)
+    paths = {}
+    for r in p.steps().orderBy("path_id", "idx").collect():
+        own = sorted(inner.get((r.path_id, r.node_id), ()), reverse=r.strand == "-")
+        paths.setdefault(r.path_id, []).extend((b, r.strand) for b in own)
+    want = {}
+    for k, blocks in paths.items():
+        walk = [((1, 0, 0), "+"), *blocks, ((2, 0, 0), "+")]
+        if all((k, a[0], b[0]) in links for a, b in zip(walk, walk[1:])):
+            want[k] = walk
+    got = {}
+    for r in sorted(rows_of(spark, sf, "project_path_whole"), key=lambda r: (r.path_id, r.step)):
+        got.setdefault(r.path_id, []).append(((r.node_id, r.start, r.end), r.strand))
+    assert got == want
+    minus = {k for k, walk in got.items() if any(s == "-" for _, s in walk)}
+    assert minus and set(got) - minus == {r.path_id for r in rows_of(spark, sf, "project_path")}
