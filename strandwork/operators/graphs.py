@@ -251,6 +251,28 @@ def links_between(pairs: DataFrame) -> DataFrame:
     return per_group(pairs, lambda links: link_rows(between(links, START, END)), schema)
 
 
+def links_between_blocks(pairs: DataFrame, ends: DataFrame, group: str = "block_group_id") -> DataFrame:
+    """Links of each group on any walk from its start to its end block.
+
+    ends: (group, start_node, start_at, end_node, end_at). The start block is the last of its node's that holds the coordinate, the end block the first.
+    """
+    schema = f"{group} long, " + ", ".join(f"{c} long" for c in [*SOURCE, *TARGET])
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        links = links_of(left)
+        nodes = sorted({b for link in links for b in link})
+        rows = []
+        for first, at, last, to in right[["start_node", "start_at", "end_node", "end_at"]].to_numpy().tolist():
+            begin = [b for b in nodes if b[0] == first and b[1] <= at <= b[2]]
+            end = [b for b in nodes if b[0] == last and b[1] <= to <= b[2]]
+            if begin and end:
+                rows += [(key[0], *r) for r in link_rows(between(links, begin[-1], end[0]))]
+        return pd.DataFrame(rows, columns=names)
+
+    return pairs.select(group, *SOURCE, *TARGET).groupBy(group).cogroup(ends.groupBy(group)).applyInPandas(run, schema)
+
+
 def enumerated(pairs: DataFrame, most: int = 1_000_000) -> DataFrame:
     """(group, path, step, node_id, start, end): all simple paths of each group from start to end, in a fixed order."""
 

@@ -315,6 +315,19 @@ def derive_subgraph(p: Projected):
     return U.remapped(e, ids, "block_group_id")
 
 
+@query()
+def derive_subgraph_whole(p: Projected):
+    """The subgraph of every order between the lines at a quarter and at three quarters (derive_subgraph, as its SQL, only renumbers nodes of every seventh)."""
+    s = p.steps().withColumnRenamed("path_id", "block_group_id")
+    n = s.groupBy("block_group_id").agg(F.count(F.lit(1)).alias("n"))
+    placed = s.join(n, "block_group_id")
+    zero = F.lit(0).cast("long")
+    first = placed.where("idx = floor(n / 4)").select("block_group_id", F.col("node_id").alias("start_node"), zero.alias("start_at"), F.col("strand").alias("start_strand"))
+    last = placed.where("idx = floor(n * 3 / 4)").select("block_group_id", F.col("node_id").alias("end_node"), F.col("length").alias("end_at"), F.col("strand").alias("end_strand"))
+    ids = s.select("block_group_id", F.col("node_id").alias("old_id"), (F.col("node_id") + 500000000).alias("new_id"))
+    return U.derived_edges(B.graph(p.edges()), first.join(last, "block_group_id"), ids)
+
+
 @query("""select path_id, chunk, node_id, greatest(chunk * 60 - path_start, 0) as start, least(chunk * 60 + 60, path_end) - path_start as "end" from pblocks, unnest(range(path_start // 60, (path_end - 1) // 60 + 1)) as u(chunk)""")
 def derive_chunks(p: Projected):
     b = p.path_blocks().select("path_id", "block", "node_id", "start", "end", "strand", "path_start", "path_end")

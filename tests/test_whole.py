@@ -71,3 +71,31 @@ def test_projection_of_all_paths(spark, sf):
     assert got == want
     minus = {k for k, walk in got.items() if any(s == "-" for _, s in walk)}
     assert minus and set(got) - minus == {r.path_id for r in rows_of(spark, sf, "project_path")}
+
+
+def test_derived_subgraphs(spark, sf):
+    """By block: links whose two ends a walk from the start block reaches, and from which the end block is reached."""
+    p = Projected(spark, sf)
+    links, steps = {}, {}
+    for r in B.graph(p.edges()).collect():
+        links.setdefault(r.block_group_id, []).append(((r.source_node_id, r.source_start, r.source_end), (r.target_node_id, r.target_start, r.target_end), r.layers[0]))
+    for r in p.steps().orderBy("path_id", "idx").collect():
+        steps.setdefault(r.path_id, []).append(r)
+    new = lambda n: n + 500000000 if n > 2 else n
+    want = set()
+    for k, own in steps.items():
+        a, b = own[len(own) // 4], own[len(own) * 3 // 4]
+        blocks = sorted({x for s, t, _ in links[k] for x in (s, t)})
+        first = [x for x in blocks if x[0] == a.node_id and x[1] == 0]
+        last = [x for x in blocks if x[0] == b.node_id and x[2] == b.length]
+        near = {(x, x) for x in blocks} | {(s, t) for s, t, _ in links[k]}
+        while len(more := near | {(x, z) for x, y in near for w, z in near if w == y}) > len(near):
+            near = more
+        for s, t, e in links[k]:
+            if first and last and {(first[0], s), (first[0], t), (s, last[0]), (t, last[0])} <= near:
+                want.add((k, e.edge_id, new(s[0]), s[2], e.source_strand, new(t[0]), t[1], e.target_strand, e.chromosome_index, e.phased))
+        want.add((k, None, 1, 0, "+", new(a.node_id), 0, a.strand, 0, 0))
+        want.add((k, None, new(b.node_id), b.length, b.strand, 2, 0, "+", 0, 0))
+    got = [tuple(r) for r in rows_of(spark, sf, "derive_subgraph_whole")]
+    assert set(got) == want and len(got) == len(want)
+    assert {r[0] for r in got} == set(steps)
