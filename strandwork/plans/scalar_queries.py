@@ -50,6 +50,13 @@ def strip_ws(p: Projected):
     return p.raw("documents").where(F.col("text").rlike(r"\A[\x00-\x7F]*\z")).select("doc_id", F.sha2(text, 256).alias("hash"), F.char_length(text).cast("long").alias("n"))
 
 
+@query()
+def strip_ws_whole(p: Projected):
+    """All documents, by Unicode's white space; strip_ws keeps those in ASCII, as its SQL does. A null text gives nulls."""
+    text = S.without_whitespace("text")
+    return p.raw("documents").select("doc_id", F.sha2(text, 256).alias("hash"), F.char_length(text).cast("long").alias("n"))
+
+
 _GT = "case o_orderkey % 6 when 0 then '0/1' when 1 then '1|0' when 2 then './.' when 3 then '1|2/0' when 4 then '3' else '0|.' end"
 
 

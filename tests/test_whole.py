@@ -1,5 +1,7 @@
 """Queries over all rows, against the registered SQL without its selection of rows or against brute force."""
 
+import hashlib
+
 import duckdb
 import pytest
 
@@ -99,3 +101,20 @@ def test_derived_subgraphs(spark, sf):
     got = [tuple(r) for r in rows_of(spark, sf, "derive_subgraph_whole")]
     assert set(got) == want and len(got) == len(want)
     assert {r[0] for r in got} == set(steps)
+
+
+#: Unicode's White_Space property.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def test_white_space_of_all_documents(spark, sf, tmp_path):
+    texts = ["a" + c + "b" for c in WHITE + "\x1c\u200b\ufeff\u180e"] + ["", None, WHITE, "Gr\u00fc\u00dfe \u00a0an\u3000alle \U0001f600"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for folder in (str(tmp_path), sf):
+        docs = spark.read.parquet(f"{folder}/documents.parquet").collect()
+        want = set()
+        for r in docs:
+            bare = None if r.text is None else r.text.translate({ord(c): None for c in WHITE})
+            want.add((r.doc_id, *((None, None) if bare is None else (hashlib.sha256(bare.encode()).hexdigest(), len(bare)))))
+        got = rows_of(spark, folder, "strip_ws_whole")
+        assert {(r.doc_id, r.hash, r.n) for r in got} == want and len(got) == len(docs)
