@@ -117,6 +117,13 @@ def op_upstream(p: Projected):
     return V.upstream(ops, ops.where("hash % 50 = 0").select("hash"))
 
 
+@query()
+def op_upstream_whole(p: Projected):
+    """From every operation; op_upstream starts from every fiftieth, as its SQL does."""
+    ops = p.operations()
+    return V.upstream(ops, ops.select("hash"))
+
+
 def _heads(ops):
     return ops.groupBy("user_id").agg(F.max("hash").alias("source"), F.min("hash").alias("target"))
 

@@ -15,6 +15,9 @@ WIDENED = [
     ("simple_paths_whole", "simple_paths", " where block_group_id % 5 = 0"),
     ("flatten_intervals_whole", "flatten_intervals", " where block_group_id % 5 = 0"),
     ("all_sequences_whole", "all_sequences", " where block_group_id % 5 = 0"),
+    ("op_upstream_whole", "op_upstream", " where hash % 50 = 0"),
+    ("library_edges_whole", "library_edges", " where path_id % 3 = 0"),
+    ("library_size_whole", "library_size", " where path_id % 3 = 0"),
 ]
 
 
