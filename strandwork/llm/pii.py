@@ -5,7 +5,9 @@ an identifier. Around each anchor a deterministic parser expands to the boundari
 account and validates it. A parser never looks twice at what a span of its kind already covers.
 
 Kinds. Base: email, ip, card, phone. Added: iban (check digits valid), account (identifier after a cue word),
-login (credentials before the host of a URL). Null and empty texts have no spans. Rows are judged each on its own.
+login (credentials before the host of a URL). Cue words and schemes are found in any case (A-Z). Null and empty texts
+have no spans, repeated rows and ids each have their own, and a text may be of any length: no number is read from more
+than 34 digits. Of docs' other columns find() returns none and mask() all, whatever their names.
 """
 
 from __future__ import annotations
@@ -67,7 +69,8 @@ def ip(text: str, start: int) -> tuple[int, bool] | None:
         end = _run(text, at, DIGITS)
         if end == at:
             return None
-        fits &= int(text[at:end][:9]) <= 255 and (end - at < 10 or not int(text[at : end - 3] or 0))
+        value = text[at:end].lstrip("0")
+        fits &= len(value) < 4 and int(value or 0) <= 255
         at = end
     return at, fits
 
@@ -142,27 +145,27 @@ def login(text: str, after_scheme: int) -> tuple[int, int] | None:
     return after_scheme, end
 
 
-def _automaton():
+def _automaton(groups: list[tuple[str, list[str]]]):
     found = ahocorasick.Automaton()
-    for kind, words in (("@", "@"), ("+", "+"), ("d", "0123456789"), ("s", SCHEMES), ("c", CUES), ("i", list(IBAN_LENGTH))):
+    for kind, words in groups:
         for w in words:
-            for form in {w, w.upper(), w.capitalize()} if kind in "sc" else {w}:
-                found.add_word(form, (kind, len(form)))
+            found.add_word(w, (kind, len(w)))
     found.make_automaton()
     return found
 
 
-_anchors = None
+#: Anchors that are found as they stand, and those that are found in the lower-cased text.
+SIGNS = _automaton([("@", ["@"]), ("+", ["+"]), ("d", sorted(DIGITS)), ("i", list(IBAN_LENGTH))])
+NAMES = _automaton([("s", SCHEMES), ("c", CUES)])
+LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all personal data, by start, then kind as listed."""
-    global _anchors
-    _anchors = _anchors or _automaton()
     out = []
     past = dict.fromkeys(KINDS, 0)  # where the search for each kind goes on
     last_digit = -2
-    for at, (anchor, size) in _anchors.iter(text):
+    for at, (anchor, size) in SIGNS.iter(text):
         if anchor == "d":
             if at >= past["card"]:
                 end = digits_with_gaps(text, at)
@@ -193,21 +196,23 @@ def spans(text: str) -> list[tuple[int, int, str]]:
                     past["phone"] = end
                     if 10 <= sum(c in DIGITS for c in text[at:end]) <= 15:
                         out.append((at, end, "phone"))
-        elif anchor == "i":
+        else:
             start = at - size + 1
             if start >= past["iban"] and start + 2 < len(text) and text[start + 2] in DIGITS:
                 end = iban(text, start)
                 if end:
                     past["iban"] = end
                     out.append((start, end, "iban"))
-        elif anchor == "c":
+    lowered = text.lower() if text.isascii() else text.translate(LOWER)  # of the same length
+    for at, (anchor, size) in NAMES.iter(lowered):
+        if anchor == "c":
             start = at - size + 1
             if start >= past["account"] and not (start and text[start - 1] in PLAIN):
                 found = account(text, at + 1)
                 if found:
                     past["account"] = found[1]
                     out.append((*found, "account"))
-        elif anchor == "s":
+        else:
             found = login(text, at + 1)
             if found and found[0] >= past["login"]:
                 past["login"] = found[1]

@@ -136,7 +136,7 @@ def test_license_join_is_exact():
 
 def base_spans(t):
     out = [(m.start(), m.end(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
-    out += [(m.start(), m.end(), "ip") for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    out += [(m.start(), m.end(), "ip") for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x.lstrip("0")[:4] or 0) <= 255 for x in m[0].split("."))]
     for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
         d = re.sub("[^0-9]", "", m[0])
         if 14 <= len(d) <= 19 and pii.luhn(d):
@@ -155,6 +155,50 @@ def test_personal_data():
     assert pii.masked("a me@x.org b", pii.spans("a me@x.org b")) == "a <email> b"
 
 
+def test_personal_data_in_long_texts():
+    rng = random.Random(16)
+    for _ in range(40):
+        parts = ["0" * rng.randint(1, 9000), "9" * rng.randint(1, 6000), ".", ".", ".", "1.2.3.4", "+", "+49 30", " ", "-", "@", "a@b.c", "4111 1111 1111 1111", "x"]
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(1, 60)))[:20_000]
+        assert [s for s in pii.spans(t) if s[2] in pii.KINDS[:4]] == base_spans(t)
+    assert pii.spans("0" * 10**6) == []
+    assert pii.spans("0000000999.1.1.1 1.2.3.0000000000999") == [] and pii.spans("0" * 5000 + "9.1.1.1") == [(0, 5007, "ip")]
+    for t, want in [("Account Number: 12345678", "12345678"), ("Tax ID: 1234567", "1234567"), ("HTTPS://me:pw@host/x", "me:pw"), ("İ Passport NO 12345678", "12345678")]:
+        assert [t[a:b] for a, b, _ in pii.spans(t)] == [want]
+
+
+def added_spans(t):
+    """The added kinds by regular expressions over the whole text."""
+    out = []
+    countries = "|".join(pii.IBAN_LENGTH)
+    past, last = 0, 0
+    for m in re.finditer(rf"(?<![A-Za-z0-9])(?=((?:{countries})[0-9][0-9](?: ?[0-9A-Z])*))", t):
+        size, n, end = pii.IBAN_LENGTH[m[1][:2]], 0, m.start()
+        while n < size and end < m.end(1):
+            n += t[end] != " "
+            end += 1
+        value = t[m.start() : end].replace(" ", "")
+        if n == size and m.start() >= past and not re.match("[A-Za-z0-9]", t[end : end + 1]) and int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1:
+            out.append((m.start(), end, "iban"))
+            past = end
+    for m in re.finditer(rf"(?i)(?<![a-z0-9])(?:{'|'.join(pii.CUES)})(?=[ :#=]{{1,4}}([a-z0-9-]*))", t, re.A):
+        value = m[1].rstrip("-")
+        if m.start() >= last and 6 <= len(value) <= 20 and sum(c.isdigit() for c in value) >= 4:
+            out.append((m.start(1), m.start(1) + len(value), "account"))
+            last = m.start(1) + len(value)
+    for m in re.finditer(r"(?i)(?:ftp|https?)://([^/?# \t\r\n\"'<>@][^/?# \t\r\n\"'<>@:]*:[^/?# \t\r\n\"'<>@]*|[^/?# \t\r\n\"'<>@]+:[^/?# \t\r\n\"'<>@]*)@", t, re.A):
+        out.append((m.start(1), m.end(1), "login"))
+    return sorted(out, key=lambda s: (s[0], pii.KINDS.index(s[2])))
+
+
+def test_added_kinds():
+    rng = random.Random(17)
+    parts = ["GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "DE89 3704 0044 0532 0130 01", "SSN", "Account number", " ", " ", ":", "12345", "6a-", "https://", "me:pw", "@", "x", "é", "Ftp://", "/", "\n", "customer id"]
+    for _ in range(20_000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(1, 10)))
+        assert [s for s in pii.spans(t) if s[2] in pii.KINDS[4:]] == added_spans(t), t
+
+
 def test_personal_data_frames(spark):
     docs = odd_docs(spark, [*ODD, "mail me@x.org now"])
     assert pii.find(docs).count() == len(ODD) + 2
