@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from strandwork.llm.shared import as_bytes
 
+#: Bytes of all texts of a labelled sample.
+SAMPLE_TOTAL = 32 << 20
+
 
 def fold(id_col: str, parts: int) -> Column:
     """crc32 of the id as text, modulo parts; an id that is null falls in no fold."""
@@ -15,34 +18,50 @@ def fold(id_col: str, parts: int) -> Column:
 
 
 def labelled_sample(
-    docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: int, most_bytes: int, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    labels: DataFrame,
+    label: str,
+    learn: Column,
+    rows: int,
+    most_bytes: int,
+    total_bytes: int = SAMPLE_TOTAL,
+    id_col: str = "doc_id",
+    text_col: str = "text",
 ) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Texts, labels (0 or 1) and weights that the model is fitted on.
 
-    Bounds: at most ``rows`` documents, half of each class, in the order of a hash of their ids; texts of at most
-    ``most_bytes`` bytes. The weights restore the share of each class among all labelled rows that may be learned from.
+    Bounds: at most ``rows`` documents, half of each class, and at most ``total_bytes`` bytes, half of each class. Texts
+    of at most ``most_bytes`` bytes come first, then longer ones fill what is left, both in the order of a hash of their
+    ids. The weights restore the share of each class among all labelled rows that may be learned from.
     """
     marked = (
         labels.where(learn)
-        .where(F.col(label).isin(0, 1))
+        .where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull())
         .groupBy(F.col(id_col).cast("long").alias("id"))
         .agg(F.max(label).cast("int").alias("y"))
     )
     counts = {r.y: r["n"] for r in marked.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    order = [F.xxhash64("id"), F.col("id")]
-    chosen = marked.where("y = 0").orderBy(*order).limit(rows // 2).unionByName(marked.where("y = 1").orderBy(*order).limit(rows // 2))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), as_bytes(text_col).alias("text")).where(F.octet_length("text") <= most_bytes)
-    found = (
-        texts.join(F.broadcast(chosen), "id")  # at most ``rows`` ids
-        .orderBy(F.xxhash64("id"), "id", "text")
-        .limit(rows)
-        .collect()
-    )
-    y = np.array([r.y for r in found], np.int64)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), as_bytes(text_col).alias("text"))
+    # ids and lengths alone meet the labels; of rows that share an id the shortest text speaks for it
+    sized = texts.groupBy("id").agg(F.min(F.octet_length("text")).alias("size")).join(marked, "id")
+    order = [(F.col("size") > most_bytes).alias("long"), F.xxhash64("id"), F.col("id")]
+    found, y = [], []
+    for value in (0, 1):
+        chosen = sized.where(F.col("y") == value).orderBy(*order).limit(rows // 2).select("id", "size").collect()
+        reach = np.cumsum([r["size"] for r in chosen])
+        wanted = {r.id: r["size"] for r in chosen[: int(np.searchsorted(reach, total_bytes // 2, "right"))]}
+        if not wanted:
+            continue
+        ids = docs.sparkSession.createDataFrame(list(wanted.items()), "id long, size int")  # at most rows // 2
+        got = texts.join(F.broadcast(ids), "id").where(F.octet_length("text") == F.col("size")).groupBy("id").agg(F.min("text").alias("text")).collect()
+        place = {i: k for k, i in enumerate(wanted)}
+        found += [bytes(r.text) for r in sorted(got, key=lambda r: place[r.id])]
+        y += [value] * len(got)
+    y = np.array(y, np.int64)
     have = {k: max(1, int((y == k).sum())) for k in (0, 1)}
     total = max(1, sum(counts.values()))
     weights = np.array([counts.get(k, 0) / total / have[k] for k in y.tolist()], np.float64)
-    return [bytes(r.text) for r in found], y, weights * max(1, len(y))
+    return found, y, weights * max(1, len(y))
 
 
 class Adam:

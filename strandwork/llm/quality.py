@@ -6,7 +6,7 @@ all its chunks, which one logistic layer turns into a probability. A filter is a
 and byte, so its answer is WIDTH look-ups.
 
 Only texts are inputs. The fit sees a bounded sample of labelled rows (see ``fit``). Null and empty texts count as one
-chunk of padding. Without both classes in the sample every score is the share of label 1.
+chunk of padding. Repeated rows have equal scores; extra columns are ignored. Without both classes in the sample every score is the share of label 1.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ CHUNK, STRIDE = 256, 192
 #: Bounds of the labelled sample.
 SAMPLE_ROWS, SAMPLE_BYTES = 4000, 1 << 12
 TRAIN_STEPS, TRAIN_BATCH = 500, 48
+#: Bytes of a long text whose answers (4 * FILTERS bytes each) are held at a time.
+PART = 1 << 20
 
 
 def padded(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,15 +134,34 @@ def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
 
 
-def scores(net: Network, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+def scores(net: Network, data: np.ndarray, at: np.ndarray, most: int = PART) -> np.ndarray:
     if net.constant is not None:
         return np.full(len(at) - 1, net.constant)
-    return sigmoid(net.features(data, at)[0] @ net.calibrated[:-1] + net.calibrated[-1])
+    long = len(at) == 2 and len(data) > most
+    found = long_features(net, data, most) if long else net.features(data, at)[0]
+    return sigmoid(found @ net.calibrated[:-1] + net.calibrated[-1])
+
+
+def long_features(net: Network, data: np.ndarray, most: int = PART) -> np.ndarray:
+    """The features of one text, from parts of about ``most`` bytes of it, so that the answers of one part are held at a time."""
+    chunks = max(1, -(-(len(data) - (CHUNK - STRIDE)) // STRIDE))
+    many = max(1, most // STRIDE)
+    total, low, high = np.zeros(FILTERS), np.full(FILTERS, np.inf), np.full(FILTERS, -np.inf)
+    for first in range(0, chunks, many):
+        starts = STRIDE * np.arange(first, min(chunks, first + many))
+        base, end = starts[0], min(len(data), starts[-1] + CHUNK)
+        part = np.zeros(end - base + WIDTH - 1, np.uint8)  # the bytes after the part, or padding at the text's end
+        held = data[base : end + WIDTH - 1]
+        part[: len(held)] = held
+        best = np.tanh(net.pooled(net.answers(part), starts - base, np.minimum(starts + CHUNK, len(data)) - base) + net.p["bias"])
+        total += best.sum(axis=0)
+        low, high = np.minimum(low, best.min(axis=0)), np.maximum(high, best.max(axis=0))
+    return np.concatenate([total / chunks, low, high])[None]
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES, id_col: str = "doc_id", text_col: str = "text") -> Network:
-    """A network fitted on at most ``rows`` labelled texts of at most ``most_bytes`` bytes outside the held-out fold."""
-    return train(*labelled_sample(docs, labels, label, fold(id_col, 3) != 1, rows, most_bytes, id_col, text_col))
+    """A network fitted on at most ``rows`` labelled texts outside the held-out fold (see ``labelled_sample`` for the bounds)."""
+    return train(*labelled_sample(docs, labels, label, fold(id_col, 3) != 1, rows, most_bytes, id_col=id_col, text_col=text_col))
 
 
 def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,12 +1,17 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, in numpy.
 
-A word's input is its own vector (by a hash of the word) beside the mean of the vectors of its character n-grams.
+A word's input is its own vector (by a hash of the word) beside the mean of the vectors of its character n-grams. The
+first coordinate of both is the log odds of the label, drawn towards zero where few texts of the sample hold the word or
+n-gram; the others are learned. While fitting, a text sees the odds that the texts of the other FOLDS - 1 parts of the
+sample give, so the network learns how far odds can be trusted on texts that had no part in them.
+
 The network reads overlapping windows of words in both directions, attention pools a window's states into one
 logit, and a text's score comes from its highest window; all windows of the whole text are scored.
 
 Only texts are inputs. The fit sees a bounded sample of labelled rows (see ``fit``); in a toxic text it learns from
-the windows that score highest so far, in a clean one from all. Null and empty texts have one empty window's score,
-that of the constant. Without both classes in the sample every score is the share of toxic labels.
+the windows that score highest so far, in a clean one from all. Null and empty texts have the lowest score that the
+network can give. Repeated rows have equal scores; extra columns are ignored or carried, whatever their names. Without
+both classes in the sample every score is the share of toxic labels.
 """
 
 from __future__ import annotations
@@ -25,11 +30,13 @@ from strandwork.llm.shared import as_bytes, concat_ranges, steps, words
 WINDOW, STRIDE = 32, 24
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 6, 6
 WORD_ROWS, CHAR_ROWS = 1 << 14, 1 << 15
+#: Parts of the sample, and texts that odds must outweigh.
+FOLDS, SHRINK = 8, 7.0
 GRAMS = (3, 4, 5)
 #: Bounds of the labelled sample.
 SAMPLE_ROWS, SAMPLE_BYTES = 4000, 1 << 13
 TRAIN_STEPS, TRAIN_BATCH = 300, 192
-TABLE_RATE = 0.3
+TABLE_RATE = 0.02
 #: Texts of the sample that must share a row of the word or n-gram table for it to count.
 SUPPORT = 4
 THRESHOLD = 0.3
@@ -38,7 +45,7 @@ REMEMBERED = 100_000
 
 
 def word_features(found: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row of each word, rows of all its character n-grams, and how many n-grams it has."""
+    """Hash of each word, rows of all its character n-grams, and how many n-grams it has."""
     data = np.frombuffer(b"".join(b"^" + w + b"$" for w in found), np.uint8).astype(np.uint64)
     size = np.array([len(w) + 2 for w in found], np.int64)
     owner = np.repeat(np.arange(len(found)), size)
@@ -62,7 +69,7 @@ def word_features(found: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
         owners.append(owner[inside])
     rows, owners = np.concatenate(rows or [np.zeros(0, np.int64)]), np.concatenate(owners or [np.zeros(0, np.int64)])
     order = np.argsort(owners, kind="stable")
-    return ((whole >> np.uint64(20)) % np.uint64(WORD_ROWS)).astype(np.int64), rows[order], np.bincount(owners, minlength=len(found))
+    return whole ^ (whole >> np.uint64(29)), rows[order], np.bincount(owners, minlength=len(found))
 
 
 def window_starts(n: int) -> np.ndarray:
@@ -95,24 +102,34 @@ class Network:
         d, h = WORD_DIM + CHAR_DIM, HIDDEN
         small = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
         self.p = {
-            "word": (0.1 * rng.standard_normal((WORD_ROWS, WORD_DIM))).astype(np.float32),
-            "char": (0.1 * rng.standard_normal((CHAR_ROWS, CHAR_DIM))).astype(np.float32),
+            "word": (0.1 * rng.standard_normal((WORD_ROWS, WORD_DIM - 1))).astype(np.float32),
+            "char": (0.1 * rng.standard_normal((CHAR_ROWS, CHAR_DIM - 1))).astype(np.float32),
             "look": small(2 * h),
             "out": small(2 * h),
             "bias": np.zeros(1, np.float32),
         }
         for way in "fb":
             self.p |= {f"w{way}": small(d, 3 * h), f"u{way}": small(h, 3 * h), f"b{way}": np.zeros(3 * h, np.float32)}
+        self.words = np.zeros(0, np.uint64)
+        self.odds = {"word": np.zeros(1, np.float32), "char": np.zeros(CHAR_ROWS, np.float32)}
         self.calibrated = np.array([1.0, 0.0])
         self.constant: float | None = None
 
-    def inputs(self, word: np.ndarray, rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    def inputs(self, word: np.ndarray, rows: np.ndarray, counts: np.ndarray, odds: dict[str, np.ndarray] | None = None) -> np.ndarray:
+        """Inputs of words; ``odds`` are those of a part of the sample, else those of all of it."""
+        odds = odds or self.odds
         grams = np.zeros((len(word), CHAR_DIM), np.float32)
         some = counts > 0
         if some.any():
             starts = (np.cumsum(counts) - counts)[some]
-            grams[some] = np.add.reduceat(self.p["char"][rows], starts, axis=0) / counts[some, None]
-        return np.concatenate([self.p["word"][word], grams], axis=1)
+            grams[some, 1:] = np.add.reduceat(self.p["char"][rows], starts, axis=0) / counts[some, None]
+            grams[some, 0] = np.add.reduceat(odds["char"][rows], starts) / counts[some]
+        return np.concatenate([odds["word"][self.place(word), None], self.p["word"][table_row(word)], grams], axis=1)
+
+    def place(self, word: np.ndarray) -> np.ndarray:
+        """Places of words among those that the sample holds; the last place is that of all others."""
+        at = np.searchsorted(self.words, word)
+        return np.where(self.words[np.minimum(at, len(self.words) - 1)] == word, at, len(self.words)) if len(self.words) else at
 
     def projected(self, x: np.ndarray) -> np.ndarray:
         """(2, words, 3 * HIDDEN): what each word adds to the gates, forward and backward."""
@@ -197,60 +214,85 @@ def train(texts: list[bytes], y: np.ndarray, weights: np.ndarray, seed: int = 7)
     word, rows, counts = word_features(list(number))
     begins = np.cumsum(counts) - counts
 
-    # The first coordinate of a word and of an n-gram starts as its log odds, so the first windows are well chosen.
-    # Rows that too few texts share stay zero, in training and in scoring.
-    pos, known = [np.zeros((2, n)) for n in (WORD_ROWS, CHAR_ROWS)], {}
-    totals = np.array([(y == 0).sum(), (y == 1).sum()])
-    for x, label in zip(ids, y.tolist()):
+    net.words = np.unique(word)
+    row_of, learned_row = net.place(word), table_row(word)
+    part = np.arange(len(ids)) % FOLDS
+    seen = {"word": np.zeros((FOLDS, 2, len(net.words) + 1), np.float32), "char": np.zeros((FOLDS, 2, CHAR_ROWS), np.float32)}
+    for x, label, f in zip(ids, y.tolist(), part.tolist()):
         own = np.unique(x)
-        pos[0][label, np.unique(word[own])] += 1
-        pos[1][label, np.unique(rows[concat_ranges(begins[own], counts[own])])] += 1
-    for name, seen in zip(("word", "char"), pos):
-        odds = np.log((seen[1] + 0.5) / (totals[1] + 1)) - np.log((seen[0] + 0.5) / (totals[0] + 1))
-        known[name] = (seen.sum(axis=0) >= SUPPORT).astype(np.float32)[:, None]
-        net.p[name][:, 0] = odds / 2
-        net.p[name] *= known[name]
-    odds_of = net.inputs(word, rows, counts)
-    worst = np.append(odds_of[:, 0] + odds_of[:, WORD_DIM], -9)
+        seen["word"][f, label, np.unique(row_of[own])] += 1
+        seen["char"][f, label, np.unique(rows[concat_ranges(begins[own], counts[own])])] += 1
+    parts = []
+    for f in range(FOLDS):
+        here = np.bincount(y[part != f], minlength=2)
+        parts.append({name: log_odds(v.sum(axis=0) - v[f], here) for name, v in seen.items()})
+    net.odds = {name: log_odds(v.sum(axis=0), np.bincount(y, minlength=2)) for name, v in seen.items()}
+    texts_of_word = seen["word"].sum(axis=(0, 1))
+    learned = {"word": summed(learned_row, texts_of_word[row_of, None], WORD_ROWS)[:, 0] >= SUPPORT, "char": seen["char"].sum(axis=(0, 1)) >= SUPPORT}
+    learned = {name: v.astype(np.float32)[:, None] for name, v in learned.items()}
+    for name in learned:  # rows that too few texts share stay zero, in training and in scoring
+        net.p[name] *= learned[name]
 
     pad = len(number)
     grid, per_text = windows_of(ids, pad)
     owner = np.repeat(np.arange(len(ids)), per_text)
-    score = worst[grid].max(axis=1)
-    adam = Adam({k: v for k, v in net.p.items() if k not in ("word", "char")}, 0.02)
+
+    def window_scores(of) -> np.ndarray:
+        """of(gates or odds of a part, its windows), for the windows of each part of the sample."""
+        out = np.zeros(len(grid), np.float32)
+        for f in range(FOLDS):
+            mine = np.flatnonzero(part[owner] == f)
+            out[mine] = of(net.inputs(word, rows, counts, parts[f]), grid[mine])
+        return out
+
+    score = window_scores(lambda x, cells: np.append(x[:, 0] + x[:, WORD_DIM], -9)[cells].max(axis=1))
+    adam = Adam({k: v for k, v in net.p.items() if k not in learned}, 0.02)
     for step in range(TRAIN_STEPS):
         if step % 100 == 0 and step:
-            score = net_scores(net, grid, net.projected(net.inputs(word, rows, counts)), pad)
+            score = window_scores(lambda x, cells: net_scores(net, cells, net.projected(x), pad))
         if step % 100 == 0:
             order = np.lexsort((-score, owner))
             top = order[np.cumsum(per_text) - per_text]  # each text's highest window
             positive, hard = top[y[owner[top]] == 1], top[y[owner[top]] == 0]
             clean = np.flatnonzero(y[owner] == 0)
-            adam.rate = 0.02 * (1 - step / TRAIN_STEPS) + 0.001
-        part = TRAIN_BATCH // 4
-        pick = np.concatenate([rng.choice(positive, 2 * part), rng.choice(hard, part), rng.choice(clean, part)])
-        target = np.repeat([1.0, 0.0], [2 * part, 2 * part])
+        adam.rate = 0.02 * (1 - step / TRAIN_STEPS) + 0.001
+        few = TRAIN_BATCH // 4
+        pick = np.concatenate([rng.choice(positive, 2 * few), rng.choice(hard, few), rng.choice(clean, few)])
+        target = np.repeat([1.0, 0.0], [2 * few, 2 * few])
         shown = grid[pick].T
         live = (shown != pad).astype(np.float32)
-        own, at = np.unique(shown, return_inverse=True)
-        real = own[own < pad]
-        sub_rows, sub_counts = rows[concat_ranges(begins[real], counts[real])], counts[real]
-        x_own = net.inputs(word[real], sub_rows, sub_counts)
-        if len(own) > len(real):
-            x_own = np.concatenate([x_own, np.zeros((1, x_own.shape[1]), np.float32)])
+        # a word is another input in each part of the sample
+        own, at = np.unique(shown + (pad + 1) * part[owner[pick]], return_inverse=True)
+        fold_of, number_of = own // (pad + 1), own % (pad + 1)
+        x_own = np.zeros((len(own), WORD_DIM + CHAR_DIM), np.float32)
+        real = np.flatnonzero(number_of < pad)
+        for f in range(FOLDS):
+            mine = real[fold_of[real] == f]
+            w = number_of[mine]
+            x_own[mine] = net.inputs(word[w], rows[concat_ranges(begins[w], counts[w])], counts[w], parts[f])
         grads, d_own = net.train_step(x_own, at.reshape(shown.shape), live, target)
-        # The tables move by plain gradient steps, so a row that few windows show stays near its log odds.
-        d_own[len(real) :] = 0
-        net.p["word"] -= TABLE_RATE * known["word"] * summed(word[real], d_own[: len(real), :WORD_DIM], WORD_ROWS)
-        spread = np.repeat(d_own[: len(real), WORD_DIM:] / np.maximum(1, sub_counts)[:, None], sub_counts, axis=0)
-        net.p["char"] -= TABLE_RATE * known["char"] * summed(sub_rows, spread, CHAR_ROWS)
+        # The tables move by plain gradient steps, so a row that few windows show stays near its start.
+        w, d_own = number_of[real], d_own[real]
+        net.p["word"] -= TABLE_RATE * learned["word"] * summed(learned_row[w], d_own[:, 1:WORD_DIM], WORD_ROWS)
+        spread = np.repeat(d_own[:, WORD_DIM + 1 :] / np.maximum(1, counts[w])[:, None], counts[w], axis=0)
+        net.p["char"] -= TABLE_RATE * learned["char"] * summed(rows[concat_ranges(begins[w], counts[w])], spread, CHAR_ROWS)
         adam.step(grads)
-    score = net_scores(net, grid, net.projected(net.inputs(word, rows, counts)), pad)
+    score = window_scores(lambda x, cells: net_scores(net, cells, net.projected(x), pad))
     highest = np.maximum.reduceat(score, np.cumsum(per_text) - per_text)
     net.calibrated = logistic(np.clip(highest, -12, 12)[:, None], y, weights, ridge=1e-3)
     return net
 
 
+def table_row(word: np.ndarray) -> np.ndarray:
+    return (word % np.uint64(WORD_ROWS)).astype(np.int64)
+
+
+def log_odds(seen: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Log odds of label 1 for rows that seen[label] texts hold, beside those of all texts, SHRINK texts of which count for each row."""
+    share = (texts[1] + 0.5) / (texts.sum() + 1)
+    return (np.log((seen[1] + SHRINK * share) / (seen[0] + SHRINK * (1 - share))) - np.log(share / (1 - share))).astype(np.float32)
+
+
 def net_scores(net: Network, grid: np.ndarray, gates: np.ndarray, pad: int, most: int = 2048) -> np.ndarray:
     """Logit of each window; grid holds rows of gates, pad where no word stands."""
     gates = np.concatenate([gates[:, :pad], np.zeros((2, 1, gates.shape[2]), np.float32)], axis=1)
@@ -297,8 +339,8 @@ class Scorer:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES, id_col: str = "doc_id", text_col: str = "text") -> Network:
-    """A network fitted on at most ``rows`` labelled texts of at most ``most_bytes`` bytes outside the held-out fold."""
-    return train(*labelled_sample(docs, labels, label, fold(id_col, 4) != 2, rows, most_bytes, id_col, text_col))
+    """A network fitted on at most ``rows`` labelled texts outside the held-out fold (see ``labelled_sample`` for the bounds)."""
+    return train(*labelled_sample(docs, labels, label, fold(id_col, 4) != 2, rows, most_bytes, id_col=id_col, text_col=text_col))
 
 
 def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:

@@ -5,7 +5,9 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from strandwork.llm import ann, quality, toxicity
+from strandwork.llm import ann, quality, queries, toxicity
+from strandwork.llm.learning import labelled_sample
+from strandwork.llm.shared import read, words
 
 
 def labelled(spark, n=500):
@@ -88,6 +90,65 @@ def test_pooling_covers_all_bytes():
     assert counts.tolist() == [1, 1, 1, 1, 1, 2, 5]
 
 
+def test_long_texts_in_parts():
+    net = quality.Network()
+    net.calibrated = np.random.default_rng(4).standard_normal(len(net.calibrated))
+    rng = np.random.default_rng(5)
+    for n in (300, 2000, 1920, 1921, 4097):
+        data, at = quality.joined([bytes(rng.integers(0, 256, n).astype(np.uint8))])
+        assert np.allclose(quality.scores(net, data, at, most=700), quality.scores(net, data, at, most=10**6), atol=1e-6)
+
+
+def one_word(learned, held):
+    """Scores of the texts in held by the largest log odds of one word."""
+    seen = [{}, {}]
+    for text, label in learned:
+        for w in set(words(text)):
+            seen[label][w] = seen[label].get(w, 0) + 1
+    many = [sum(label == k for _, label in learned) for k in (0, 1)]
+    odds = lambda w: np.log((seen[1].get(w, 0) + 0.5) / (many[1] + 1)) - np.log((seen[0].get(w, 0) + 0.5) / (many[0] + 1))
+    return np.array([max([odds(w) for w in words(t)], default=-9) for t in held])
+
+
+def test_toxicity_held_out(spark):
+    """On the labelled rows of the held-out fold: as many found as by the best word at the share of false alarms that the network has."""
+    sf = "/root/testdata/sf0.01"
+    scored = queries.op10_toxicity(spark, sf)
+    labels = read(spark, sf, "labels").where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    rows = scored.join(labels, "doc_id").join(read(spark, sf, "documents").select("doc_id", "text"), "doc_id").collect()
+    held = [r for r in rows if r.held_out]
+    y, said = np.array([r.toxic for r in held]), np.array([r.predicted for r in held])
+    recall, wrong = said[y == 1].mean(), said[y == 0].mean()
+    plain = one_word([((r.text or "").encode(), r.toxic) for r in rows if not r.held_out], [(r.text or "").encode() for r in held])
+    cut = np.quantile(plain[y == 0], 1 - wrong, method="higher")
+    assert wrong <= 0.05 and recall >= (plain[y == 1] > cut).mean() - 0.08
+
+
+def test_labelled_sample(spark):
+    """The sample is filled up with long texts, and never beyond its bounds."""
+    docs = spark.createDataFrame([(k, "a" * (10 if k % 5 else 1000)) for k in range(100)] + [(4, "b" * 2000), (None, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(100)] + [(3, 1), (None, 1)], "doc_id long, toxic int")
+    every = lambda **k: labelled_sample(docs, labels, "toxic", F.lit(True), **k)
+    texts, y, w = every(rows=200, most_bytes=100)
+    assert len(texts) == 100 and y.sum() == 50 and sum(len(t) > 100 for t in texts) == 20 and np.allclose(w, 1)
+    texts, y, _ = every(rows=60, most_bytes=100)
+    assert len(texts) == 60 and y.sum() == 30 and max(map(len, texts)) == 10
+    texts, y, _ = every(rows=200, most_bytes=100, total_bytes=2 * (400 + 2500))
+    assert [sum(len(t) > 100 for t, v in zip(texts, y) if v == k) for k in (0, 1)] == [2, 2]
+    assert every(rows=0, most_bytes=100)[0] == [] and labelled_sample(docs.limit(0), labels, "toxic", F.lit(True), 9, 9)[0] == []
+
+
+def test_odd_rows_of_models(spark):
+    docs, labels = labelled(spark, 120)
+    docs = docs.select("*", F.lit(1).alias("id"), F.lit("x").alias("y"), F.lit(None).cast("string").alias("_text"))
+    for module in (quality, toxicity):
+        net = module.fit(docs, labels)
+        got = module.score(docs, net).collect()
+        assert len(got) == docs.count() and all(0 <= r.score <= 1 for r in got)
+        assert len({r.score for r in got if r.id == 0}) == 1 and module.score(docs.limit(0), net).collect() == []
+    assert toxicity.score(docs, net, carry=tuple(docs.columns)).columns == ["id", "score", *[f"_{c}" for c in docs.columns]]
+
+
 def brute(rows, asked, k):
     ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
     u = x / np.linalg.norm(x, axis=1)[:, None]
