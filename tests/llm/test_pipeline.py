@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 from strandwork.llm import decontaminate, pii, toxicity
-from strandwork.llm.shared import kept, read
+from strandwork.llm.shared import kept, read, words
 from tests.llm.test_text_operators import brute_simhash
 
 
@@ -28,7 +28,7 @@ def test_stages(spark, sf):
             root[i] = min(root[j] for j in fps if (fps[i] ^ fps[j]).bit_count() <= 2)
     assert set(after) == {i for i in fps if root[i] == i}
     before, after = steps["decontaminate"]
-    grams = decontaminate.NgramSet([(r.item_id, r.text.encode()) for r in read(spark, sf, "benchmark").collect()])
+    grams = decontaminate.NgramSet([(r.item_id, words(r.text.encode())) for r in read(spark, sf, "benchmark").collect()])
     assert set(after) == {i for i, r in before.items() if not grams.hits(r.text.encode())[1]}
     before, after = steps["pii"]
     assert {i: r.text for i, r in after.items()} == {i: pii.masked(r.text, pii.spans(r.text)) for i, r in before.items()}

@@ -78,11 +78,12 @@ def tokens(text):
 def test_contamination(spark, most):
     rng = random.Random(3)
     text = lambda n: " ".join(rng.choice(["ab", "Cd", "é", "x1"]) for _ in range(n))
-    items = [(k, text(12)) for k in range(8)] + [(9, "ab cd é"), (10, ""), (11, None), (12, text(12)), (3, "x1 x1 x1")]
-    docs = [(k, text(5) + ", " + items[k % 9][1].upper() + "; " + text(6)) for k in range(40)] + [(50, None), (51, ""), (52, "ab")]
+    items_long = text(70)
+    items = [(k, text(12)) for k in range(8)] + [(9, "ab cd é"), (10, ""), (11, None), (12, text(12)), (3, "x1 x1 x1"), (None, text(12)), (13, items_long)]
+    docs = [(k, text(5) + ", " + items[k % 9][1].upper() + "; " + text(6)) for k in range(40)] + [(50, None), (51, ""), (52, "ab"), (53, items_long), (54, items[-2][1]), (54, items[-2][1])]
     df = spark.createDataFrame([(*d, "z") for d in docs], "doc_id long, text string, items string")
     got = decontaminate.contamination(df, spark.createDataFrame(items, "item_id long, text string"), most_words=most).collect()
-    grams = [(str(i), tuple(w[k : k + 10])) for i, t in items if (w := tokens(t)) for k in range(max(1, len(w) - 9))]
+    grams = [(i if i is None else str(i), tuple(w[k : k + 10])) for i, t in items if (w := tokens(t)) for k in range(max(1, len(w) - 9))]
     for r in got:
         w, hit, names = tokens(dict(docs)[r.row.doc_id]), set(), set()
         for name, g in grams:
@@ -90,11 +91,31 @@ def test_contamination(spark, most):
                 if tuple(w[k : k + len(g)]) == g:
                     hit |= set(range(k, k + len(g)))
                     names.add(name)
-        assert (r.n_words, r["items"]) == (len(w), sorted(names))
+        assert (r.n_words, r["items"]) == (len(w), sorted(names - {None}) + [None] * (None in names))
         assert {h.start + j for h in r.hits for j in range(h.length)} == hit
     assert len(got) == len(docs)
 
 
+def test_items_without_a_name(spark):
+    docs = spark.createDataFrame([(1, "one two three four")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "one two"), ("None", "three four"), (None, "two three")], "item_id string, text string")
+    for most in (1000, 1):
+        (r,) = decontaminate.contamination(docs, bench, most_words=most).collect()
+        assert r["items"] == ["None", None] and [tuple(h) for h in r.hits] == [(0, 4)]
+    assert decontaminate.contamination(docs.limit(0), bench).collect() == []
+    assert decontaminate.contamination(docs, bench.limit(0)).collect()[0].hits == []
+
+
+def test_blocks_are_bounded(spark):
+    """A pass's set holds at most the given number of words, and one set is alive at a time."""
+    bench = spark.createDataFrame([(k, "w%d " % k * (7 * k)) for k in range(40)], "item_id long, text string")
+    blocks = list(decontaminate._blocks(bench, "item_id", "text", 50, 10))
+    assert max(sum(len(w) for _, w in block) for block in blocks) <= 50
+    grams = lambda items: {(i, tuple(w[k : k + 10])) for i, w in items for k in range(max(1, len(w) - 9))}
+    whole = [(str(r.item_id), r.text.encode().split()) for r in bench.collect() if r.text.strip()]
+    assert set().union(*map(grams, blocks)) == grams(whole)
+
+
 def test_remove_spans(spark):
     docs = spark.createDataFrame([(1, "keep One two, THREE! end", 5), (2, None, 5), (3, "none", 5)], "doc_id long, text string, cut long")
     bench = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
@@ -114,24 +135,49 @@ def test_licenses(spark):
     assert {b.label for b in got[len(ODD) + 2].blocks} >= {"apache"}
 
 
-def test_license_join_is_exact():
+def brute_blocks(index, text):
+    """{template: {first word of each block that meets it: containment}} by looking at every block."""
+    w, out = tokens(text), {}
+    for k, own in enumerate(index.sets):
+        names = {name for name, n in index.number.items() if n in set(own)}
+        for s in range(max(1, len(w) - index.block[k] + 1)):
+            share = len(names & {x.encode() for x in w[s : s + index.block[k]]})
+            if share >= index.need[k]:
+                out.setdefault(k, {})[s] = share / len(own)
+    return out
+
+
+@pytest.mark.parametrize("block", [64, 12])
+def test_license_join_is_exact(block):
     rng = random.Random(5)
-    vocab = [w for _, t in licenses.TEMPLATES for w in t.split()] + ["other", "word"]
-    index = licenses.TemplateIndex(licenses.TEMPLATES, {w.encode(): rng.randint(0, 50) for w in vocab}, 0.6, licenses.BASE)
-    for _ in range(60):
-        text = " ".join(rng.choice(vocab) for _ in range(rng.randint(1, 150)))
-        if rng.random() < 0.5:
-            text += " " + " ".join(rng.sample(rng.choice(licenses.TEMPLATES)[1].split(), 5))
-        met, _ = index.meet(index.numbers(text.encode()))
-        w, half = text.split(), licenses.BLOCK // 2
-        want = set()
-        for s in range(0, len(w), half):
-            block = set(w[s : s + licenses.BLOCK])
-            for k, (_, t) in enumerate(licenses.TEMPLATES):
-                own = set(tokens(t))
-                if len(own & block) >= index.need[k]:
-                    want.add((s, k))
-        assert {(s, k) for s, k, _ in met} == want
+    templates = licenses.TEMPLATES[:14]
+    vocab = [w for _, t in templates for w in t.split()] + ["other", "word"] * 20
+    index = licenses.TemplateIndex(templates, {w.encode(): rng.randint(0, 50) for w in vocab}, 0.6, licenses.BASE, block)
+    some = 0
+    for _ in range(80):
+        text = " ".join(rng.choice(vocab) for _ in range(rng.randint(0, 150)))
+        for _ in range(rng.randint(0, 2)):
+            own = rng.choice(templates)[1].split()
+            spread = [x for w in own for x in [w] + ["x"] * rng.randint(0, 2)]
+            text += " " + " ".join(spread if rng.random() < 0.7 else rng.sample(own, len(own) - 1)) + " y" * rng.randint(0, 40)
+        met, best = index.meet(index.numbers(text.encode()))
+        want = brute_blocks(index, text)
+        assert {k: {s for a, b, t, _ in met if t == k for s in range(a, b + 1)} for _, _, k, _ in met} == {k: set(v) for k, v in want.items()}
+        assert all(c == max(want[t][s] for s in range(a, b + 1)) for a, b, t, c in met)
+        assert not want or best == max(c for v in want.values() for c in v.values())
+        some += len(met)
+    assert some > 50
+
+
+def test_license_at_every_offset():
+    """A template spread over fewer words than a block is found wherever it starts."""
+    index = licenses.TemplateIndex(licenses.TEMPLATES, {}, licenses.THRESHOLD, licenses.BASE)
+    for t, (_, text) in enumerate(licenses.TEMPLATES):
+        own = text.split()
+        spread = " ".join(x for k, w in enumerate(own) for x in ([w, "filler"] if k % 3 == 0 else [w]))
+        for start in range(0, 70, 3):
+            met, _ = index.meet(index.numbers(("a " * start + spread + " b" * 90).encode()))
+            assert t in {m[2] for m in met}
 
 
 def base_spans(t):
