@@ -3,15 +3,21 @@
 A page is a sequence of words and tags. Words score positive and tags negative, by weights that are learned from
 labelled pages: a tag's weight comes from its name, a word's from where it stands (inside a link, in an element of a
 boilerplate kind, in a short block). One linear scan finds the contiguous region of highest total score. Inside the
-region, elements whose kind has a negative weight (adverts, menus, forms, comments) are left out, and the words of
-each block are joined.
+region, blocks whose words score below zero (adverts, menus, forms, comments) are left out, and the words of each block
+are joined.
 
-Null, empty and text-free pages give an empty text. Rows are judged each on its own.
+The weights are fitted twice. The first fit tells which kinds of element speak against main text; in the second, standing
+in any of these is a feature of its own, so that an advert inside an article is an advert. A page is taken to have main
+text: where no word outside such elements scores above zero, all these words are raised until the best one does.
+
+Null, empty and text-free pages give an empty text. Rows are judged each on its own, repeated ones too. A tag whose
+quote is never closed ends at its next >. Other columns are kept whatever their names, but for one named like the output.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache, lru_cache
 from html import unescape
@@ -20,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from strandwork.llm.learning import logistic
 from strandwork.llm.shared import as_bytes, steps
@@ -39,10 +46,13 @@ HINTS = (
     "login", "signup", "search", "tags", "pagination", "pager", "copyright", "legal", "toolbar", "content", "article", "post", "entry", "story", "main", "body", "text", "alert",
     "skip", "tracking", "promoted", "outbrain", "disclaimer", "discussion", "replies", "navbar", "topbar", "masthead", "complementary", "contentinfo", "navigation",
 )
-FEATURES = ["length", "link", *[f"k:{k}" for k in KINDS], *[f"h:{h}" for h in HINTS]]
+FEATURES = ["length", "link", "against", *[f"k:{k}" for k in KINDS], *[f"h:{h}" for h in HINTS]]
 INDEX = {name: k for k, name in enumerate(FEATURES)}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>|$)|[^<]+|<", re.S)
+#: One attribute; a tag with its attributes, or else up to the next >; and every token of a page.
+ATTRIBUTE = r"[^\s/>=][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])[^\s>]++))?"
+TAG = rf"</?[a-zA-Z][^\s/>]*+(?:(?:[\s/]++|{ATTRIBUTE}|=)*+>|[^>]*+(?:>|$))"
+TOKEN = re.compile(rf"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*+>?|{TAG}|[^<]++|<", re.S)
 NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
 MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 PART = re.compile(r"[a-z]+")
@@ -64,11 +74,11 @@ def marks(tag: str) -> frozenset[int]:
 
 
 LINK = frozenset({INDEX["link"]})
-#: A feature below this weight rules its words out, but for kinds that occur inside main text too.
+#: A kind of element whose weight is below this speaks against main text, but for kinds that occur inside it too.
 AGAINST = -0.6
-UNDECIDED = frozenset({INDEX["link"], INDEX["length"], INDEX["k:header"], INDEX["h:header"]})
-#: Added to all words, one after the other, until a page without any hint gives a text.
-LIFTS = (0.0, 1.0, 2.0)
+UNDECIDED = frozenset({INDEX["link"], INDEX["length"], INDEX["against"], INDEX["k:header"], INDEX["h:header"]})
+#: What the best word of a page scores at least.
+LEAST = 0.05
 
 
 #: Elements that an end tag of another kind does not close, and those that the start of a block closes.
@@ -92,7 +102,18 @@ def pieces(page: str) -> list[Piece]:
     # open elements: name, the features of all elements up to it, whether one of them is hidden
     stack: list[tuple[str, tuple[frozenset[int], ...], bool]] = []
     block, around, hidden = 0, (), False
+    # how many elements of a name are open: of HOLDS, and of others above each of these, so that a stray end tag costs one look-up
+    held, above = Counter(), [Counter()]
     at, n = 0, len(page)
+
+    def drop() -> None:
+        last = stack.pop()[0]
+        if last in HOLDS:
+            above.pop()
+            held[last] -= 1
+        else:
+            above[-1][last] -= 1
+
     match, name_of = TOKEN.match, NAME.match
     while at < n:
         m = match(page, at)
@@ -113,12 +134,10 @@ def pieces(page: str) -> list[Piece]:
         if not hidden:
             out.append(Piece(None, block, (), name))
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-                if stack[k][0] in HOLDS and name not in HOLDS:
-                    break  # a stray end tag does not close what is around it
+            if held[name] if name in HOLDS else above[-1][name]:  # a stray end tag does not close what is around it
+                while stack[-1][0] != name:
+                    drop()
+                drop()
         elif name not in VOID and not token.endswith("/>"):
             if name in RAW:
                 end = RAW[name].search(page, at)
@@ -126,14 +145,19 @@ def pieces(page: str) -> list[Piece]:
                 continue
             if name in BLOCKS:
                 while stack and stack[-1][0] in INLINE:
-                    stack.pop()
+                    drop()
                 if stack and stack[-1][0] == name and name in ("li", "dd", "dt", "tr", "td", "th", "option"):
-                    stack.pop()
+                    drop()
             around, hidden = stack[-1][1:] if stack else ((), False)
             own = marks(token) | LINK if name == "a" else marks(token)
             if own and own not in around:
                 around = (*around, own)
             stack.append((name, around, hidden or name in HIDDEN or bool(SEEN_HIDDEN.search(token))))
+            if name in HOLDS:
+                above.append(Counter())
+                held[name] += 1
+            else:
+                above[-1][name] += 1
         else:
             continue
         around, hidden = stack[-1][1:] if stack else ((), False)
@@ -170,52 +194,56 @@ class Model:
                 rows.append(x)
                 target.append(inside)
                 weight.append(np.sqrt(len(p.text.split())))
-        fitted = logistic(np.array(rows), np.array(target), np.array(weight), ridge=3e-3)
+        x, target, weight = np.array(rows), np.array(target), np.array(weight)
+        first = logistic(x, target, weight, ridge=3e-3)
+        self.against = frozenset(k for k, w in enumerate(first[:-1].tolist()) if w < AGAINST and k not in UNDECIDED)
+        x[:, INDEX["against"]] = x[:, sorted(self.against)].max(axis=1)
+        fitted = logistic(x, target, weight, ridge=3e-3)
         self.word, self.base = fitted[:-1], fitted[-1]
-        self.known: dict[tuple, float] = {}
+        self.known: dict[tuple, tuple[float, bool]] = {}
         # a tag's weight: log odds that it stands in main text, made negative throughout
         odds = {t: np.log((s[1] + 1) / (s[0] + 1)) for t, s in tag_seen.items()}
         top = max(odds.values())
         self.tag = {t: -TAG_SCALE * float(np.clip(top - v, 0.5, 3)) for t, v in odds.items()}
         self.other = -TAG_SCALE * 1.5
 
-    def value(self, features: tuple[frozenset[int], ...], words: int) -> float:
-        """Weight of a word with these features, in a block of so many words."""
-        own = self.known.get(features)
-        if own is None:
-            every = list(set().union(*features))
-            own = float(self.base + self.word[every].sum())
-            against = [f for f in every if self.word[f] < AGAINST and f not in UNDECIDED]
-            own = self.known[features] = min(own, -9.0) if against else own  # an advert in an article is an advert
+    def value(self, features: tuple[frozenset[int], ...], words: int) -> tuple[float, bool]:
+        """Weight of a word with these features, in a block of so many words, and whether an element speaks against it."""
+        known = self.known.get(features)
+        if known is None:
             if len(self.known) > 100_000:
                 self.known.clear()
-        return max(-1.0, min(3.0, own + float(self.word[INDEX["length"]]) * length_feature(words)))
+            every = set().union(*features)
+            against = bool(every & self.against)
+            own = float(self.base + self.word[sorted(every)].sum() + against * self.word[INDEX["against"]])
+            known = self.known[features] = (own, against)
+        return max(-1.0, min(3.0, known[0] + float(self.word[INDEX["length"]]) * length_feature(words))), known[1]
 
     def extract(self, page: str) -> str:
+        """The text of the page's best region."""
         found = pieces(page)
         size = block_words(found)
-        for lift in LIFTS:
-            text = self.region(found, size, lift)
-            if text:
-                return text
-        return ""
-
-    def region(self, found: list[Piece], size: dict[int, int], lift: float) -> str:
-        """The text of the best region, with ``lift`` added to the weight of every word."""
-        score, total = [], {}
+        score, best = [], None
         for p in found:
             if p.text is None:
-                score.append(self.tag.get(p.opens, self.other))
+                score.append((self.tag.get(p.opens, self.other), 1, True))
                 continue
             n = len(p.text.split())
-            own = (self.value(p.features, size[p.block]) + lift) * n if n else 0.0
-            total[p.block] = total.get(p.block, 0.0) + own
-            score.append(own)
+            own, against = self.value(p.features, size[p.block])
+            score.append((own, n, against))
+            if n and not against:
+                best = own if best is None else max(best, own)
+        lift = max(0.0, LEAST - best) if best is not None else 0.0
+        total: dict[int, float] = {}
+        score = [(own if against else own + lift) * n for own, n, against in score]
+        for p, own in zip(found, score):
+            if p.text is not None:
+                total[p.block] = total.get(p.block, 0.0) + own
         first, last = best_region(score)
-        blocks: dict[int, list[str]] = {}
-        for p in found[first:last]:
-            if p.text is not None and total[p.block] > 0:
-                blocks.setdefault(p.block, []).append(p.text)
+        blocks: dict[int, list[str]] = {p.block: [] for p in found[first:last] if p.text is not None and total[p.block] > 0}
+        for p in found:
+            if p.text is not None and p.block in blocks:  # a block that the region cuts is whole
+                blocks[p.block].append(p.text)
         lines = [" ".join(unescape("".join(v)).split()) for v in blocks.values()]
         return "\n".join(line for line in lines if line)
 
@@ -253,18 +281,17 @@ def default_model() -> Model:
     return Model(PAGES)
 
 
-def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """pages' other columns and text, the page's main text."""
-    rest = [c for c in pages.columns if c != html_col]
-    plain = pages.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), as_bytes(html_col).alias("html"))
-    model = pages.sparkSession.sparkContext.broadcast(default_model())
+def extract(pages: DataFrame, html_col: str = "html", out_col: str = "text") -> DataFrame:
+    """pages' other columns and out_col, the page's main text, which takes the place of a column of that name."""
+    rest = [c for c in pages.columns if c not in (html_col, out_col)]
+    row = F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.struct(F.lit(0))
+    plain = pages.select(row.alias("row"), as_bytes(html_col).alias("html"))
+    model = pages.sparkSession.sparkContext.broadcast(default_model())  # bounded: a weight for each feature and tag name
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "html"):
             texts = [model.value.extract(p.decode("utf-8", "replace")) for p in batch.column("html").to_pylist()]
             yield pa.record_batch([batch.column("row"), pa.array(texts, pa.string())], names=["row", "text"])
 
-    from pyspark.sql.types import StringType, StructField, StructType
-
     schema = StructType([plain.schema["row"], StructField("text", StringType())])
-    return plain.mapInArrow(run, schema).select(*[F.col(f"row.`{c}`").alias(c) for c in rest if c != "text"], "text")
+    return plain.mapInArrow(run, schema).select(*[F.col(f"row.`{c}`").alias(c) for c in rest], F.col("text").alias(out_col))
