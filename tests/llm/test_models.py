@@ -1,8 +1,10 @@
 """Classifiers by held-out accuracy on invented texts; nearest neighbours by recall against brute force."""
 
+import os
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from strandwork.llm import ann, quality, queries, toxicity
@@ -159,14 +161,15 @@ def brute(rows, asked, k):
         yield q, ids[order].tolist(), s[order].tolist()
 
 
-def test_ann(spark):
+@pytest.mark.parametrize("how", [{}, {"list_rows": 200, "queries": 7}])
+def test_ann(spark, how):
     rng = np.random.default_rng(3)
     rows = [(k, rng.standard_normal(16).tolist()) for k in range(1500)]
     rows += [(2000 + k, rows[0][1]) for k in range(30)]
     bad = [(3000, None), (3050, [0.0] * 16), (3100, []), (3150, [float("nan")] * 16), (3200, [1.0] * 3), (None, rows[1][1])]
     df = spark.createDataFrame([(i, v, 1) for i, v in rows + bad], "vec_id long, embedding array<double>, rank int")
     got = {}
-    for r in ann.search(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+    for r in ann.search(df, F.col("vec_id") % 50 == 0, **how).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     want = list(brute(rows, [i for i, _ in rows if i % 50 == 0], 5))
     assert sorted(got) == [q for q, _, _ in want]
@@ -176,6 +179,40 @@ def test_ann(spark):
     for q, ids, scores in want:
         if [v for v, _ in got[q]] == ids:
             assert np.allclose([s for _, s in got[q]], scores, atol=1e-12)
+    again = ann.search(df.repartition(7), F.col("vec_id") % 50 == 0, **how).collect()
+    assert sorted((r.query_id, r.vec_id) for r in again) == sorted((q, v) for q, found in got.items() for v, _ in found)
     few = df.where("vec_id in (0, 50, 2000)")
     assert ann.search(few, F.col("vec_id") % 50 == 0).count() == 6
     assert ann.search(df.limit(0), F.col("vec_id") % 50 == 0).collect() == []
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/check_l"), reason="the larger tables are not there")
+def test_ann_recall_on_the_larger_table(spark):
+    """Recall of the registered query against brute force over all 51,282 vectors."""
+    sf = "/root/testdata/check_l"
+    rows = read(spark, sf, "embeddings").select("vec_id", "embedding").toPandas().dropna()
+    ids, x = rows.vec_id.to_numpy(), np.stack(rows.embedding.to_numpy()).astype(np.float64)
+    fine = np.isfinite(x).all(axis=1) & (np.abs(x).max(axis=1) > 0)
+    ids, x = ids[fine], x[fine]
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    got = {}
+    for r in queries.op4_ann(spark, sf).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    asked = np.flatnonzero(ids % 50 == 0)
+    assert set(got) == set(ids[asked].tolist())
+    hits = 0
+    for at in range(0, len(asked), 256):
+        part = asked[at : at + 256]
+        score = unit[part] @ unit.T
+        score[np.arange(len(part)), part] = -9
+        for q, row in zip(part, np.argpartition(-score, 5, axis=1)[:, :5]):
+            hits += len(got[ids[q]] & set(ids[row].tolist()))
+    assert hits >= 0.95 * 5 * len(asked), hits / 5 / len(asked)
+
+
+def test_probes_follow_the_data():
+    """Few cells are probed where vectors lie in clusters, and most where they do not."""
+    rng = np.random.default_rng(6)
+    clusters = rng.standard_normal((40, 32))
+    x = ann.units(clusters[rng.integers(0, 40, 3000)] + 0.1 * rng.standard_normal((3000, 32)))
+    assert ann.Coarse(x, 40, 5).probes <= 4 and ann.Coarse(ann.units(rng.standard_normal((3000, 32))), 40, 5).probes > 20
