@@ -1,19 +1,21 @@
-"""A training corpus in six stages, each applied to all that the one before it kept.
+"""A training corpus in five stages, each applied to all that the one before it kept.
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return
-the columns of documents. run() applies them to documents, writing each stage's rows and reading them again.
+the columns of documents. run() applies them to documents, writing each stage's rows and reading them again; what a
+stage has written for itself is deleted once its rows are there.
 
-Every stage keeps rows whose id is null and repeated columns of any other name; an empty input gives an empty output.
+Every stage keeps rows whose id is null and columns of any other name; an empty input gives an empty output.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandwork.llm import bpe, decontaminate, near, pii, simhash, toxicity
+from strandwork.llm import bpe, decontaminate, near, pii, toxicity
 from strandwork.llm.queries import vocabulary_path
-from strandwork.llm.shared import kept, read
+from strandwork.llm.shared import forget, kept, mark, read, release
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +26,10 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of SimHash links; of rows that share an id one."""
-    found = simhash.near_duplicates(docs).where("id is not null")
+    """One document, that of the smallest id, of each group of near copies: SimHash links, verified and completed by the Jaccard
+    similarity (0.8 or more) of five-word shingles. Of rows that share an id and a text one stays; no other text of theirs is lost.
+    """
+    found = near.near_copies(docs)
     ids = kept(found.groupBy("id").agg(F.min("component").alias("component"), F.count(F.lit(1)).alias("n")), "dedup-ids")
     dropped = ids.where("component != id").select(F.col("id").alias("doc_id"))
     # one plan at every size: without the hint small inputs would broadcast the ids and only large ones move the texts
@@ -33,7 +37,9 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     again = ids.where("n > 1").select(F.col("id").alias("doc_id"))
     if again.isEmpty():
         return stay
-    once = stay.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    equal = W.partitionBy("doc_id", "text").orderBy(F.to_json(F.struct(*docs.columns)))
+    place = F.row_number().over(equal)
+    once = stay.join(again, "doc_id", "left_semi").select("*", place.alias("__place")).where("__place = 1").select(*docs.columns)
     return stay.join(again, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
 
 
@@ -48,13 +54,6 @@ def with_masked_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return pii.mask(docs, length_col="n_chars" if "n_chars" in docs.columns else None)
 
 
-def without_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group linked by a Jaccard similarity of 0.8 or more of five-word shingles."""
-    found = near.near_copies(docs)
-    dropped = kept(found.select(F.col("id").alias("doc_id")).distinct(), "similar-ids")
-    return docs.join(dropped.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
-
-
 def with_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, the text's token ids, their number, and whether they decode to the text again."""
     found = bpe.encode_and_decode(docs, vocabulary_path(), carry_text=True)
@@ -71,7 +70,6 @@ STAGES = [
     ("simhash_dedup", without_near_copies),
     ("decontaminate", without_benchmark),
     ("pii", with_masked_pii),
-    ("near_copies", without_similar),
     ("bpe", with_tokens),
 ]
 
@@ -80,6 +78,12 @@ ORACLE_SQL = None  # toxicity, SimHash, added spans of personal data and BPE are
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
+    before: tuple[DataFrame, ...] = ()
     for name, stage in STAGES[:-1]:
+        since = mark()
         docs = kept(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(spark, since, but=(docs,))
+        for done in before:
+            forget(done)
+        before = (docs,)
     return STAGES[-1][1](spark, docs, sf_dir)

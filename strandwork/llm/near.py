@@ -1,13 +1,22 @@
-"""Near copies by the exact Jaccard similarity of their sets of five-word shingles.
+"""SimHash near-duplicates held against the exact similarity of five-word shingles, and completed by it.
 
-A shingle is the 64-bit hash of five neighbouring words; a text of at most five words is one shingle, an empty one
-has none and is near to nothing. Equal sets are one node. By the prefix filter two sets of similarity s or more share
-one of the first n - ceil(s n) + 1 shingles of each, in any one order; here the order is that of the hashes. Sets that
-meet in such a shingle are candidates where their sizes and places leave enough in common, and are then compared whole.
+``simhash.near_duplicates`` links fingerprints by their bits alone. Here two texts are near if the Jaccard similarity of
+their sets of five-word shingles is LEAST or more. A fingerprint of 64 bits tells the nearest apart from the rest but not
+all that are near (at a similarity of 0.8 some ten bits differ), so its links are candidates that are verified, and the
+pairs that it misses come from an exact prefix filter.
 
-Candidates are made in two rounds. The first pairs each set with the smallest that it meets in a shingle, so a group of
-near copies becomes one component by a number of pairs that grows with the group, not with its square. The second
-pairs all that meet and are not yet in one component. Nothing is sampled or capped, so the components are those of
+A shingle is the 64-bit hash of five neighbouring words; a text of fewer words is one shingle. Equal sets are one node,
+so a group of copies of any size is one row from then on; empty texts are equal to each other and near to nothing else.
+
+Candidates are made in two rounds. In the first, the links of the SimHash trie join, and pairs of each set with the
+smallest that it meets in a shingle, so a group of near copies becomes one component by a number of pairs that grows with
+the group, not with its square. In the second, all that meet and are not yet in one component.
+
+The prefix filter: two sets of similarity s or more share one of the first n - ceil(s n) + 1 shingles of each, in any one
+order. Here shingles that many texts hold come last, and else the order is that of the hashes: a line that stands in a
+third of all texts is in the prefix of those alone that hold little else. Which shingles come last is found by counting in
+all texts; it changes the order and by it the work, not the pairs. Sets that meet are candidates where their sizes and
+places leave enough in common, and are then compared whole. Nothing is sampled or capped, so the components are those of
 all pairs. A bound from counts by class of hash keeps most pairs from being compared; it leaves out no pair that is near.
 
 The shingles of a set are not stored: they are hashed again for the sets that candidates name, which a bitmap of fixed
@@ -29,26 +38,19 @@ from pyspark.sql import functions as F
 
 from strandwork.llm.components import components
 from strandwork.llm.shared import as_bytes, concat_ranges, forget, kept, steps
+from strandwork.llm.simhash import links, shingle_hashes, simhashes, with_groups
 
 SIZE, LEAST = 5, 0.8
-SEED = 42
+#: Bytes of text in which shingles are counted, the share of their texts that must hold a shingle (OFTEN texts at least) for
+#: it to come last, and how many such shingles the order knows (the most frequent; the others are ordered as rare ones).
+COUNTED, SHARE, OFTEN, KNOWN = 16 << 20, 0.002, 8, 1 << 18
 #: Classes of hashes that are counted for the bound at first and before sets are moved, bits of the bitmap of ids, and pairs that one step looks at.
 CLASSES, FINE, BITS, PAIRS = 64, 512, 1 << 24, 1 << 19
 
 
 def shingles(text: bytes, size: int = SIZE) -> np.ndarray:
     """The distinct hashes of a text's word shingles, ascending (int64)."""
-    found = text.lower().split()
-    if not found:
-        return np.zeros(0, np.int64)
-    digest, line = xxhash.xxh64_intdigest, b" ".join(found)
-    if len(found) <= size:
-        hashes = [digest(line, SEED)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
-        begins = [0, *(ends[:-size] + 1).tolist()]
-        hashes = [digest(line[a:b], SEED) for a, b in zip(begins, ends[size - 1 :].tolist())]
-    return np.unique(np.array(hashes, np.uint64).view(np.int64))
+    return np.unique(np.array(shingle_hashes(text, size), np.uint64).view(np.int64))
 
 
 def least_common(n, m, least: float = LEAST):
@@ -78,8 +80,49 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), as_bytes(text_col).alias("text")).where("id is not null")
 
 
-def heads(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def facts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fp, k1, k2, shingle, texts): fingerprint and 128-bit hash of the set of each text, and rows of shingles that many texts hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, texts, size = [], 0, 0
+        for batch in steps(batches):
+            every = [np.array(shingle_hashes(t, SIZE), np.uint64) for t in batch.column("text").to_pylist()]
+            sets = [np.unique(h) for h in every]
+            keys = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
+            halves = np.array([[k >> 64, k & ((1 << 64) - 1)] for k in keys], np.uint64).reshape(-1, 2).view(np.int64)
+            yield table(batch.column("id"), simhashes(every).view(np.int64), halves[:, 0], halves[:, 1])
+            held += sets
+            texts, size = texts + batch.num_rows, size + batch.nbytes
+            if size >= COUNTED:
+                yield often(held, texts)
+                held, texts, size = [], 0, 0
+        if held:
+            yield often(held, texts)
+
+    def often(sets: list[np.ndarray], texts: int) -> pa.RecordBatch:
+        found, count = np.unique(np.concatenate(sets), return_counts=True)
+        many = count >= max(OFTEN, SHARE * texts)
+        return table(None, None, None, None, found[many].view(np.int64), count[many])
+
+    def table(*columns) -> pa.RecordBatch:
+        size = next(len(c) for c in columns if c is not None)
+        columns = [*columns, *[None] * (6 - len(columns))]
+        return pa.record_batch([pa.nulls(size, pa.int64()) if c is None else pa.array(c, pa.int64()) for c in columns], names=["id", "fp", "k1", "k2", "shingle", "texts"])
+
+    return _texts(docs, id_col, text_col).mapInArrow(run, "id long, fp long, k1 long, k2 long, shingle long, texts long")
+
+
+def last_first(found: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A set's shingles in the order of the prefix filter: those in ``last`` (ascending) come last."""
+    if not len(last) or not len(found):
+        return found
+    late = last[np.minimum(np.searchsorted(last, found), len(last) - 1)] == found
+    return np.concatenate([found[~late], found[late]])
+
+
+def heads(docs: DataFrame, last: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n, classes, prefix): size, counts by class and prefix of each set that is not empty."""
+    shared = docs.sparkSession.sparkContext.broadcast(last)  # at most KNOWN numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
@@ -89,7 +132,7 @@ def heads(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                     pa.array([i for i, _ in rows], pa.int64()),
                     pa.array([len(f) for _, f in rows], pa.int64()),
                     binary([classes(f) for _, f in rows]),
-                    pa.array([f[: prefix(len(f))] for _, f in rows], pa.list_(pa.int64())),
+                    pa.array([last_first(f, shared.value)[: prefix(len(f))] for _, f in rows], pa.list_(pa.int64())),
                 ],
                 names=["id", "n", "classes", "prefix"],
             )
@@ -199,18 +242,36 @@ def verified(docs: DataFrame, pairs: DataFrame, id_col: str = "doc_id", text_col
     return out
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component) of each id that near copies tie to a smaller one; component is the smallest they reach."""
+def several(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b): links between the nodes of the sets that rows of one id have."""
+    each = sets.select("id", "k1", "k2").distinct()
+    many = each.groupBy("id").count().where("count > 1").select("id")
+    own = with_groups(each.join(many, "id"), nodes.select("k1", "k2", "n", "node"), ["k1", "k2"], "n").select("id", "node")
+    return own.join(own.groupBy("id").agg(F.min("node").alias("b")), "id").where("node != b").select(F.col("node").alias("a"), "b").distinct()
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 2) -> DataFrame:
+    """(id, component) of each row whose id is not null; component is the smallest id that near copies reach, itself included."""
     spark = docs.sparkSession
-    head = kept(heads(docs, id_col, text_col), "near-heads")
+    every = kept(facts(docs, id_col, text_col), "near-facts")
+    counted = every.where("texts is not null").groupBy("shingle").agg(F.sum("texts").alias("texts"))
+    most = counted.orderBy(F.desc("texts"), "shingle").limit(KNOWN).select("shingle").collect()
+    last = np.sort(np.array([r.shingle for r in most], np.int64))
+    sets = every.where("texts is null").select("id", "fp", "k1", "k2")
+    nodes = kept(sets.groupBy("k1", "k2").agg(F.min("id").alias("node"), F.min("fp").alias("fp"), F.count(F.lit(1)).alias("n")), "near-nodes")
+    tied = kept(several(sets, nodes), "near-tied")
+    groups = kept(nodes.groupBy("fp").agg(F.min("node").alias("id")), "near-groups")
+    by_bits = links(groups, budget).unionByName(nodes.join(groups, "fp").where("node != id").select(F.col("node").alias("a"), F.col("id").alias("b")))
+    head = kept(heads(docs, last, id_col, text_col).join(nodes.select(F.col("node").alias("id")), "id", "left_semi"), "near-heads")
     posts = head.select("id", F.posexplode("prefix").alias("pos", "h")).select("h", "id", F.col("pos").cast("long").alias("pos"))
     shared = kept(posts.withColumn("rows", F.count(F.lit(1)).over(W.partitionBy("h"))).where("rows > 1").drop("rows"), "near-shared")
     rows = shared.join(head.select("id", "n", "classes"), "id")
-    star = kept(candidates(rows.withColumn("component", F.col("id")), True), "near-star")
-    first = verified(docs, star, id_col, text_col)
+    pairs = by_bits.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    star = kept(candidates(rows.withColumn("component", F.col("id")), True).unionByName(pairs).distinct(), "near-star")
+    first = verified(docs, star, id_col, text_col).unionByName(tied)
     named = components(spark, first).select(F.col("node").alias("id"), "root")
     rest = kept(candidates(rows.join(named, "id", "left").withColumn("component", F.coalesce("root", "id")), False), "near-rest")
-    found = components(spark, first.unionByName(verified(docs, rest, id_col, text_col)))
-    for table in (head, shared, star, rest):
-        forget(table)
-    return found.select(F.col("node").alias("id"), F.col("root").alias("component"))
+    second = verified(docs, rest, id_col, text_col)
+    found = components(spark, first.unionByName(second))
+    final = kept(nodes.join(found.select("node", "root"), "node", "left").select("k1", "k2", "n", F.coalesce("root", "node").alias("component")), "near-named")
+    return with_groups(sets, final, ["k1", "k2"], "n").select("id", "component")

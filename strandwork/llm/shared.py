@@ -1,8 +1,9 @@
 """What the operators of this subpackage share: table reading, shared scratch tables, text batches.
 
 Executors and driver share no local folder, so anything that outlives a job is written as Parquet
-under ``spark.checkpoint.dir`` (read from the session; a local folder is used only where it is unset).
-A written table cuts lineage and survives the loss of executors.
+under ``spark.checkpoint.dir`` (read from the session; where it is unset a local folder serves a local master, and a
+cluster is an error). A written table cuts lineage and survives the loss of executors. ``release`` deletes the tables
+that nobody reads any more.
 """
 
 from __future__ import annotations
@@ -27,16 +28,23 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="strandwork-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: Paths of the tables that this process has written and not deleted.
+_written: list[str] = []
+
+
 def kept(df: DataFrame, tag: str) -> DataFrame:
     """df, written once to the shared folder and read again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.shared_path = path
     return out
@@ -44,9 +52,26 @@ def kept(df: DataFrame, tag: str) -> DataFrame:
 
 def forget(df: DataFrame) -> None:
     """Delete a table that kept() wrote and that no later step reads."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.shared_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession, df.shared_path)
+
+
+def mark() -> int:
+    """A point in time for release()."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int = 0, but: tuple[DataFrame, ...] = ()) -> None:
+    """Delete the tables written since a mark, except some; call it once what reads them has been written or collected."""
+    stay = {df.shared_path for df in but}
+    for path in _written[since:]:
+        if path not in stay:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    _written.remove(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def as_bytes(column: str = "text"):

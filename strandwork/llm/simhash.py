@@ -32,30 +32,38 @@ from strandwork.llm.shared import as_bytes, kept, steps
 SEED = 42
 #: Distinct fingerprints that one bucket may hold before it is refined.
 BUCKET = 20_000
+#: Rows of one fingerprint from which on its group is broadcast where rows meet their groups.
+HOT = 1 << 16
+
+
+def shingle_hashes(text: bytes, size: int) -> list[int]:
+    """XXH64 of each of a text's word shingles, repeats included; of a shorter text's words; none of an empty one."""
+    digest, found = xxhash.xxh64_intdigest, text.lower().split()
+    if not found:
+        return []
+    line = b" ".join(found)
+    if len(found) <= size:
+        return [digest(line, SEED)]
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
+    begins = [0, *(ends[:-size] + 1).tolist()]
+    return [digest(line[a:b], SEED) for a, b in zip(begins, ends[size - 1 :].tolist())]
 
 
 def fingerprints(texts: list[bytes], size: int = 3) -> np.ndarray:
     """64-bit SimHash of each text's word shingles (uint64)."""
-    digest, hashes, starts, rows = xxhash.xxh64_intdigest, [], [], []
-    for row, text in enumerate(texts):
-        found = text.lower().split()
-        if not found:
-            continue
-        starts.append(len(hashes))
-        rows.append(row)
-        if len(found) <= size:
-            hashes.append(digest(b" ".join(found), SEED))
-        else:
-            line = b" ".join(found)
-            ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
-            begins = [0, *(ends[:-size] + 1).tolist()]
-            hashes += [digest(line[a:b], SEED) for a, b in zip(begins, ends[size - 1 :].tolist())]
-    out = np.zeros(len(texts), np.uint64)
-    if not rows:
+    return simhashes([np.array(shingle_hashes(t, size), np.uint64) for t in texts])
+
+
+def simhashes(hashes: list[np.ndarray]) -> np.ndarray:
+    """Of each array of hashes the bits that more than half of them have; 0 of an empty one."""
+    out = np.zeros(len(hashes), np.uint64)
+    counts = np.array([len(h) for h in hashes], np.int64)
+    rows = np.flatnonzero(counts)
+    if not len(rows):
         return out
-    values = np.array(hashes, dtype="<u8")
-    first = np.array(starts, np.int64)
-    counts = np.diff(np.append(first, len(values)))
+    values = np.concatenate([hashes[r] for r in rows]).astype("<u8")
+    counts = counts[rows]
+    first = np.cumsum(counts) - counts
     ones = np.empty((len(first), 64), np.int64)
     for byte in range(8):  # a byte of all hashes at a time keeps the unpacked bits small
         bits = np.unpackbits(values.view(np.uint8)[byte::8].reshape(-1, 1), axis=1, bitorder="little")
@@ -206,11 +214,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, fp, component): one row per row of docs; component is the smallest id that links reach."""
     spark = docs.sparkSession
     fps = kept(with_fingerprint(docs, id_col, text_col, size), "simhash-fp")
-    groups = kept(fps.where("id is not null").groupBy("fp").agg(F.min("id").alias("id")), "simhash-groups")
-    roots = components(spark, links(groups, budget))
-    named = groups.join(roots.withColumnRenamed("node", "id"), "id", "left").select(
-        "fp", F.coalesce("root", "id").alias("component")
-    )
-    return fps.join(named, "fp", "left").select(
-        "id", "fp", F.when(F.col("id").isNotNull(), F.col("component")).alias("component")
-    )
+    groups = kept(fps.where("id is not null").groupBy("fp").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "simhash-groups")
+    roots = components(spark, links(groups.select("fp", "id"), budget))
+    named = groups.join(roots.withColumnRenamed("node", "id"), "id", "left").select("fp", "n", F.coalesce("root", "id").alias("component"))
+    found = with_groups(fps, kept(named, "simhash-named"), ["fp"], "n")
+    return found.select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, key: list[str], n: str, hot: int = HOT) -> DataFrame:
+    """rows left-joined with the columns of groups, one row for each key; n: its number of rows.
+
+    The groups of more than ``hot`` rows, of which there are at most one for each ``hot`` rows, are broadcast, so that a
+    group of a third of all rows is not one task's.
+    """
+    large = groups.where(F.col(n) > hot).drop(n)
+    if large.isEmpty():
+        return rows.join(groups.drop(n), key, "left")
+    cold = rows.join(F.broadcast(large), key, "left_anti").join(groups.where(F.col(n) <= hot).drop(n), key, "left")
+    return cold.unionByName(rows.join(F.broadcast(large), key))

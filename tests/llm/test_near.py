@@ -3,18 +3,19 @@
 import random
 
 import corpus_pipeline
-from strandwork.llm import near
+import pytest
+from strandwork.llm import near, simhash
 from strandwork.llm.shared import read
 
 
 def brute(docs):
-    """{id: smallest id reached} over links of similarity 0.8 or more, for ids that reach a smaller one."""
+    """{id: smallest id reached} over links of similarity 0.8 or more (and between empty texts), for ids that reach a smaller one."""
     sets = []
     for i, text in docs:
         w = (text or "").lower().split()
-        if i is not None and w:
-            sets.append((i, {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))}))
-    links = [(i, j) for k, (i, x) in enumerate(sets) for j, y in sets[:k] if i != j and 5 * len(x & y) >= 4 * len(x | y)]
+        if i is not None:
+            sets.append((i, {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()))
+    links = [(i, j) for k, (i, x) in enumerate(sets) for j, y in sets[:k] if i != j and (5 * len(x & y) >= 4 * len(x | y) if x and y else x == y)]
     root = {i: i for pair in links for i in pair}
     for _ in root:
         for i, j in links:
@@ -24,10 +25,14 @@ def brute(docs):
 
 def found(spark, docs):
     rows = near.near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()
-    return {r.id: r.component for r in rows}
+    assert sorted(r.id for r in rows) == sorted(i for i, _ in docs if i is not None)
+    return {r.id: r.component for r in rows if r.id != r.component}
 
 
-def test_near_copies(spark):
+@pytest.mark.parametrize("share", [0.002, 0.3])
+def test_near_copies(spark, share, monkeypatch):
+    monkeypatch.setattr(near, "SHARE", share)
+    monkeypatch.setattr(near, "OFTEN", 3 if share < 0.1 else 8)
     rng = random.Random(5)
     words = lambda n: [rng.choice("abcdefghijklmnop") * 2 for _ in range(n)]
     docs = []
@@ -42,7 +47,7 @@ def test_near_copies(spark):
     docs += [(200 + k, common + " " + " ".join(words(4 + k))) for k in range(20)]
     docs += [(300, ""), (301, None), (302, "a b"), (303, "A  b"), (None, docs[0][1]), (5, docs[5][1]), (304, "a b c"), (304, docs[40][1])]
     want = brute(docs)
-    assert len(set(want.values())) > 5 and want[303] == 302
+    assert len(set(want.values())) > 5 and want[303] == 302 and want[301] == 300
     assert found(spark, docs) == want
     assert found(spark, []) == {}
 
@@ -50,12 +55,25 @@ def test_near_copies(spark):
 def test_stage_drops_what_fingerprints_keep(spark, sf):
     """Documents 177 and 145 of the smallest tables are copies (0.83) of 1 and 6, at 11 and 7 bits."""
     docs = read(spark, sf, "documents")
-    rows = [(r.doc_id, r.text) for r in docs.collect()]
-    fps = corpus_pipeline.without_near_copies(spark, docs, sf)
-    left = {r.doc_id for r in fps.collect()}
-    assert {1, 177, 6, 145} <= left
-    root = brute([r for r in rows if r[0] in left])
-    stages = dict(corpus_pipeline.STAGES)
-    after = stages["near_copies"](spark, fps, sf)
+    root = brute([(r.doc_id, r.text) for r in docs.collect()])
+    after = corpus_pipeline.without_near_copies(spark, docs, sf)
     assert after.columns == docs.columns
-    assert {r.doc_id for r in after.collect()} == {i for i in left if root.get(i, i) == i} == left - {177, 145}
+    assert {r.doc_id for r in after.collect()} == {r.doc_id for r in docs.collect() if r.doc_id not in root}
+    assert root[177] == 1 and root[145] == 6
+
+
+def test_stage_keeps_texts_of_one_id(spark, sf):
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(30))
+    rows = [(1, text(1), "b"), (1, text(1), "a"), (1, text(2), "a"), (2, text(3), "a"), (3, text(3), "a"), (None, text(3), "a"), (4, text(2), "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k1 string")
+    got = corpus_pipeline.without_near_copies(spark, docs, sf).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([rows[1], rows[2], rows[3], rows[5]], key=str)
+
+
+def test_hot_groups_are_broadcast(spark):
+    rows = spark.createDataFrame([(k, k % 3) for k in range(90)] + [(99, 7)], "id long, fp long")
+    groups = spark.createDataFrame([(0, 30, 5), (1, 30, 6), (2, 30, 7)], "fp long, n long, component long")
+    want = sorted((k, k % 3 + 5) for k in range(90)) + [(99, None)]
+    for hot in (10, 1000):
+        got = simhash.with_groups(rows, groups, ["fp"], "n", hot)
+        assert sorted((r.id, r.component) for r in got.collect()) == want
