@@ -13,13 +13,16 @@ some forty. An anchor owns the run of windows that chose it.
 2. The other anchors are sent with the bytes of their windows (their suffix, and what stands before it). Of equal ones
    in a batch the earliest goes on; the others are repeated as a whole and go on as merged stretches.
 3. Sampled splitters range-partition these suffixes by their leading bytes. Each bucket sorts its suffixes by multikey
-   quicksort, eight bytes at a time, and compares the windows of neighbours that share a K-gram.
-4. Compare across boundaries: for K-grams at the edge of a bucket, and those with more than MOST suffixes, the windows that
-   are the first of their kind in a bucket or a part of it go on as hashes, of which the earliest is found by a grouped
-   minimum, so no group meets in one task.
+   quicksort, eight bytes at a time, and what stands before them, read backwards, likewise. The common prefixes of
+   neighbours in both orders tell which windows are equal: those that start n bytes before their anchors are equal if the
+   anchors lie in one run of neighbours with LENGTH - n bytes in common, and in one run of n bytes in the backward order.
+4. Compare across boundaries: a suffix can have an equal window in another bucket only if it has enough bytes in common
+   with the first or the last suffix of its own. Such windows, the first of their kind in the bucket, go on as bytes, and
+   the earliest of equal ones is found by a grouped minimum, so no group meets in one task.
 
 Null and empty texts have no bytes. A null id sorts before all others. Rows equal in id and text are one document and
-get the same result; rows that share an id but not the text are told apart, and ordered, by a hash of the text.
+get the same result; rows that share an id but not the text are told apart, and ordered, by a hash of the text. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -37,8 +41,8 @@ from strandwork.llm.shared import as_bytes, concat_ranges, flat, kept, steps
 
 LENGTH, K = 100, 16
 GRAMS = LENGTH - K + 1  # K-grams in a window
-#: Suffixes with one K-gram that a bucket compares by itself.
-MOST = 16_000
+#: Bytes of all texts for each bucket of suffixes, which a task holds.
+BUCKET = 32 << 20
 #: Bytes of text, and of compressed text, that a step holds some arrays or copies of.
 STEP, STEP_Z = 2 << 20, 2 << 20
 NO_ID = -(1 << 63)
@@ -98,70 +102,69 @@ def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     return hashes[anchor], own, anchor - at[own], anchor - start[new], anchor - start[last]
 
 
-def pack(version, place, furthest, nearest):
-    """One number that sorts by version, then place: 18, 31, 7 and 7 bits."""
-    return (version << 45) | (place << 14) | (furthest << 7) | nearest
+def pack(place, furthest, nearest):
+    """One number that sorts by place: 31, 7 and 7 bits."""
+    return (place << 14) | (furthest << 7) | nearest
 
 
 def unpack(packed):
-    return packed >> 45, (packed >> 14) & ((1 << 31) - 1), (packed >> 7) & 127, packed & 127
+    return packed >> 14, (packed >> 7) & 127, packed & 127
 
 
-def version(text: bytes, told_apart: bool = True) -> int:
-    """What tells rows of one id apart, where any id is repeated."""
-    return xxhash.xxh3_64_intdigest(text) >> 46 if told_apart else 0
-
-
-def candidates(docs: DataFrame, told_apart: bool = True) -> DataFrame:
-    """(id, packed) of the anchors whose K-gram hash occurs more than once. docs: (id, text as bytes)."""
+def candidates(docs: DataFrame) -> DataFrame:
+    """(id, version, packed) of the anchors whose K-gram hash occurs more than once. docs: (id, version, text as bytes)."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, most=STEP):
-            ids = batch.column("id").to_numpy()
-            versions = np.array([version(t, told_apart) for t in batch.column("text").to_pylist()], np.int64)
+            ids, versions = batch.column("id").to_numpy(), batch.column("version").to_numpy()
             hashes, text, place, far, near = anchors(*flat(batch.column("text")))
             hashes = hashes >> np.uint64(16)  # 48 bits ask for a K-gram: a chance match is one more candidate to compare
-            packed = pack(versions[text], place, far, near)
+            packed = pack(place, far, near)
             order = np.argsort(hashes, kind="stable")
-            own_key = mixed(ids.view(np.uint64)).view(np.int64)[text[order]]
-            hashes, ids, packed = hashes[order].view(np.int64), ids[text[order]], packed[order]
+            own_key = mixed(ids.view(np.uint64) ^ mixed(versions.view(np.uint64))).view(np.int64)[text[order]]
+            hashes, ids, versions, packed = hashes[order].view(np.int64), ids[text[order]], versions[text[order]], packed[order]
             edge = np.concatenate([[True], hashes[1:] != hashes[:-1], [True]]) if len(hashes) else np.ones(1, bool)
             first, twice = edge[:-1], ~(edge[:-1] & edge[1:])
             # one row asks for each K-gram; those met twice in this batch are candidates already and are dealt by their text
             asks, known = np.flatnonzero(first), np.flatnonzero(twice)
-            known = known[np.lexsort((packed[known], ids[known]))]
+            known = known[np.lexsort((packed[known], versions[known], ids[known]))]
             yield pa.record_batch(
                 [
                     pa.array(np.concatenate([hashes[asks], own_key[known]])),
                     pa.array(np.concatenate([ids[asks], ids[known]])),
+                    pa.array(np.concatenate([versions[asks], versions[known]])),
                     pa.array(np.concatenate([packed[asks], -1 - packed[known]])),  # below zero: a candidate already
                 ],
-                names=["key", "id", "packed"],
+                names=["key", *OWN],
             )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = None
+        tail, carried = None, False  # the last row so far, and whether its key came before it
         for batch in batches:
-            key, ids, packed = (batch.column(c).to_numpy() for c in ("key", "id", "packed"))
-            if not len(key):
+            if not batch.num_rows:
                 continue
-            carried = 0
+            rows = [batch.column(c).to_numpy() for c in ("key", *OWN)]
             if tail is not None:
-                key, ids, packed = np.concatenate([tail[0], key]), np.concatenate([tail[1], ids]), np.concatenate([tail[2], packed])
-                carried = tail[3]
+                rows = [np.concatenate(pair) for pair in zip(tail, rows)]
+            key, packed = rows[0], rows[-1]
             same = np.concatenate([[False], key[1:] == key[:-1], [False]])
-            hit = same[:-1] | same[1:] | (packed < 0)
-            hit[0] |= bool(carried)
-            send = hit.copy()
+            send = same[:-1] | same[1:] | (packed < 0)
+            send[0] |= carried
             send[-1] = False  # judged with the next batch
-            tail = (key[-1:], ids[-1:], packed[-1:], int(same[-2]))
-            yield pa.record_batch([pa.array(ids[send]), pa.array(np.where(packed < 0, -1 - packed, packed)[send])], names=["id", "packed"])
-        if tail is not None and (tail[3] or tail[2][0] < 0):
-            p = tail[2]
-            yield pa.record_batch([pa.array(tail[1]), pa.array(np.where(p < 0, -1 - p, p))], names=["id", "packed"])
+            tail, carried = [r[-1:] for r in rows], bool(same[-2])
+            yield candidate(rows, send)
+        if tail is not None:
+            yield candidate(tail, (tail[-1] < 0) | carried)
+
+    def candidate(rows: list[np.ndarray], send: np.ndarray) -> pa.RecordBatch:
+        _, ids, versions, packed = (r[send] for r in rows)
+        return pa.record_batch([pa.array(ids), pa.array(versions), pa.array(np.where(packed < 0, -1 - packed, packed))], names=OWN)
+
+    sent = docs.mapInArrow(emit, "key long, id long, version long, packed long")
+    return sent.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "id long, version long, packed long")
 
-    sent = docs.mapInArrow(emit, "key long, id long, packed long")
-    return sent.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "id long, packed long")
+
+OWN = ["id", "version", "packed"]
 
 
 class Zstd:
@@ -195,61 +198,55 @@ def _zstd(sample: bytes, level: int) -> Zstd:
 
 
 def compressed(docs: DataFrame, codec: Zstd) -> DataFrame:
-    """(id, z): the text as a zstd frame, which is what the joins by id move."""
+    """(id, version, z): the text as a zstd frame, which is what the joins by id and version move."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = codec.press()
         for batch in steps(batches):
-            yield pa.record_batch([batch.column("id"), pa.array([press(t) for t in batch.column("text").to_pylist()], pa.binary())], names=["id", "z"])
+            pressed = pa.array([press(t) for t in batch.column("text").to_pylist()], pa.binary())
+            yield pa.record_batch([batch.column("id"), batch.column("version"), pressed], names=["id", "version", "z"])
 
-    return docs.mapInArrow(run, "id long, z binary")
+    return docs.mapInArrow(run, "id long, version long, z binary")
 
 
-def suffixes(docs: DataFrame, chosen: DataFrame, codec: Zstd, told_apart: bool = True) -> DataFrame:
-    """(suffix, before, id, packed): what each candidate's windows hold from the anchor on, and before it.
+def suffixes(docs: DataFrame, chosen: DataFrame, codec: Zstd) -> DataFrame:
+    """(suffix, before, id, version, packed): what each candidate's windows hold from the anchor on, and before it.
 
-    A row without ``before`` is a stretch that is known to be repeated: packed has its start, and its suffix is a hash, which
+    A row without ``before`` is a stretch that is known to be repeated: packed is its start, and its suffix is a hash, which
     spreads such rows, and its end.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = codec.expand()
         for batch in steps(batches, "z", STEP_Z):
-            seen: dict[tuple[bytes, bytes], tuple[int, int]] = {}
-            done: list[tuple[int, int]] = []
-            for own, z, numbers in zip(batch.column("id").to_pylist(), batch.column("z").to_pylist(), batch.column("anchors")):
+            seen: dict[tuple[bytes, bytes], tuple[int, int, int]] = {}
+            done: dict[tuple[int, int], list[tuple[int, int]]] = {}
+            for own, v, z, numbers in zip(*(batch.column(c).to_pylist() for c in ("id", "version", "z")), batch.column("anchors")):
                 text = expand(z)
-                mine = version(text, told_apart)
                 for packed in np.unique(numbers.values.to_numpy()).tolist():
-                    v, place, far, near = unpack(packed)
-                    if v != mine:
-                        continue
+                    place, far, near = unpack(packed)
                     what = (text[place : place + LENGTH - near], text[place - far : place])
-                    before = seen.setdefault(what, (own, packed))
-                    if before != (own, packed):
-                        if (own, packed) < before:
-                            seen[what], before = (own, packed), before
-                            done.append(before)
-                        else:
-                            done.append((own, packed))
-            by_text: dict[tuple[int, int], list[tuple[int, int]]] = {}
-            for own, packed in done:
-                v, place, far, near = unpack(packed)
-                by_text.setdefault((own, v), []).append((place - far, place - near + LENGTH))
-            known = [(own, v, a, b) for (own, v), found in by_text.items() for a, b in merged(*np.array(found).T)]
+                    now = (own, v, packed)
+                    before = seen.setdefault(what, now)
+                    if before != now:
+                        if now < before:
+                            seen[what], now = now, before
+                        place, far, near = unpack(now[2])
+                        done.setdefault(now[:2], []).append((place - far, place - near + LENGTH))
+            known = [(own, v, a, b) for (own, v), found in done.items() for a, b in merged(*np.array(found).T)]
             ends = [xxhash.xxh3_64_digest(b"%d %d %d" % k[:3]) + k[3].to_bytes(8) for k in known]
+            rows = [*seen.values(), *[k[:3] for k in known]]
             yield pa.record_batch(
                 [
                     pa.array([w[0] for w in seen] + ends, pa.binary()),
                     pa.array([w[1] for w in seen] + [None] * len(known), pa.binary()),
-                    pa.array([d[0] for d in seen.values()] + [k[0] for k in known], pa.int64()),
-                    pa.array([d[1] for d in seen.values()] + [pack(k[1], k[2], 0, 0) for k in known], pa.int64()),
+                    *[pa.array([r[k] for r in rows], pa.int64()) for k in range(3)],
                 ],
-                names=["suffix", "before", "id", "packed"],
+                names=["suffix", "before", *OWN],
             )
 
-    lists = chosen.groupBy("id").agg(F.collect_list("packed").alias("anchors"))  # bounded by the text's own length
-    return docs.join(lists, "id").select("id", "z", "anchors").mapInArrow(run, "suffix binary, before binary, id long, packed long")
+    lists = chosen.groupBy("id", "version").agg(F.collect_list("packed").alias("anchors"))  # bounded by the text's own length
+    return docs.join(lists, ["id", "version"]).select("id", "version", "z", "anchors").mapInArrow(run, "suffix binary, before binary, id long, version long, packed long")
 
 
 def multikey_quicksort(words: np.ndarray) -> np.ndarray:
@@ -271,95 +268,140 @@ def multikey_quicksort(words: np.ndarray) -> np.ndarray:
     return order
 
 
-def as_words(values: list[bytes], size: int) -> np.ndarray:
-    """The values, padded with zeros to ``size`` bytes, as big-endian numbers of eight bytes."""
-    return np.frombuffer(b"".join(v.ljust(size, b"\0") for v in values), ">u8").reshape(len(values), size // 8).astype(np.uint64)
+def as_matrix(values: pa.Array, wide: int, backwards: bool = False) -> np.ndarray:
+    """The bytes of each value, in order or backwards, padded with zeros: a row of ``wide`` bytes each."""
+    data, at = flat(values)
+    size = np.diff(at)
+    row = np.repeat(np.arange(len(size)), size)
+    place = np.arange(len(data)) - np.repeat(at[:-1], size)
+    out = np.zeros((len(size), wide), np.uint8)
+    out[row, (size[row] - 1 - place) if backwards else place] = data
+    return out
 
 
-def compare_windows(group: list[tuple[tuple[int, int], bytes, bytes]]) -> tuple[list[tuple], list[tuple]]:
-    """Of suffixes with one K-gram: the repeated stretches (id, version, start, end), and (id, version, start, window) of all first windows."""
-    seen: set[bytes] = set()
-    runs, firsts = [], []
-    for (own, packed), suffix, before in sorted(group):
-        v, place, far, near = unpack(packed)
-        whole, run = before + suffix, None
-        for k in range(far - near + 1):  # windows from the earliest on
-            window = whole[k : k + LENGTH]
-            if window in seen:
-                run = run or [place - far + k, 0]
-                run[1] = place - far + k + LENGTH
+def sorted_rows(matrix: np.ndarray, part: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the rows by multikey quicksort, and how many bytes each has in common with the one before it there."""
+    order = multikey_quicksort(matrix.view(">u8").astype(np.uint64))
+    common = np.zeros(len(order), np.int64)
+    for a in range(1, len(order), part):
+        b = min(len(order), a + part)
+        other = matrix[order[a:b]] != matrix[order[a - 1 : b - 1]]
+        common[a:b] = np.where(other.any(axis=1), other.argmax(axis=1), matrix.shape[1])
+    return order, common
+
+
+def runs_of(order: np.ndarray, common: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the number of its run of neighbours with ``least`` bytes in common, and whether it is alone there."""
+    start = common < least
+    start[:1] = True
+    number, alone = np.empty(len(order), np.int64), np.empty(len(order), bool)
+    number[order] = np.cumsum(start) - 1
+    alone[order] = start & np.append(start[1:], True)
+    return number, alone
+
+
+class Bucket:
+    """Suffixes of one bucket, in the order of their documents and places: which of their windows are repeated."""
+
+    def __init__(self, suffix: pa.Array, before: pa.Array, ids: np.ndarray, versions: np.ndarray, packed: np.ndarray):
+        rank = np.lexsort((packed, versions, ids))
+        self.ids, self.versions = ids[rank], versions[rank]
+        self.place, self.far, self.near = unpack(packed[rank])
+        at = pa.array(rank)
+        self.ahead, self.behind = as_matrix(suffix.take(at), 104), as_matrix(before.take(at), 88, backwards=True)
+        forward, backward = sorted_rows(self.ahead), sorted_rows(self.behind)
+        n = len(rank)
+        self.repeated = np.zeros((n, GRAMS), bool)  # by how far a window starts before the anchor
+        for o in range(GRAMS):
+            ahead, alone = runs_of(*forward, LENGTH - o)
+            rows = np.flatnonzero(~alone & (self.near <= o) & (o <= self.far))
+            if o and len(rows):
+                behind, alone = runs_of(*backward, o)
+                rows = rows[~alone[rows]]
+                key = ahead[rows] * n + behind[rows]
             else:
-                seen.add(window)
-                firsts.append((own, v, place - far + k, window))
-                if run:
-                    runs.append((own, v, *run))
-                run = None
-        if run:
-            runs.append((own, v, *run))
-    return runs, firsts
+                key = ahead[rows]
+            _, first, which = np.unique(key, return_index=True, return_inverse=True)
+            self.repeated[rows, o] = first[which] != np.arange(len(rows))
+        # bytes in common with the first or the last suffix of the bucket
+        order, common = forward
+        common = common.copy()
+        common[:1] = self.ahead.shape[1]
+        reach = np.minimum.accumulate(common)
+        after = np.minimum.accumulate(np.append(common[1:], self.ahead.shape[1])[::-1])[::-1]
+        self.reach = np.empty(n, np.int64)
+        self.reach[order] = np.maximum(reach, after)
+
+    def stretches(self) -> tuple[np.ndarray, ...]:
+        """(id, version, start, end) of the stretches of repeated windows."""
+        later = self.repeated[:, ::-1].astype(np.int8)  # in the order of their starts
+        row, edge = np.nonzero(np.diff(later, axis=1, prepend=0, append=0))
+        row, a, b = row[0::2], GRAMS - 1 - edge[0::2], GRAMS - edge[1::2]
+        return self.ids[row], self.versions[row], self.place[row] - a, self.place[row] - b + LENGTH
+
+    def open_windows(self, part: int = 1 << 14) -> Iterator[tuple]:
+        """(id, version, start, end, window) of the first windows of their kind that another bucket may hold too."""
+        o = np.arange(GRAMS)
+        row, o = np.nonzero(~self.repeated & (self.near[:, None] <= o) & (o <= self.far[:, None]) & (o >= LENGTH - self.reach[:, None]))
+        for a in range(0, len(row), part):
+            r, n = row[a : a + part], o[a : a + part]
+            at = np.arange(LENGTH) - n[:, None]  # from the anchor on
+            bytes_ = np.where(at < 0, self.behind[r[:, None], np.maximum(-1 - at, 0)], self.ahead[r[:, None], np.maximum(at, 0)])
+            window = pa.FixedSizeBinaryArray.from_buffers(pa.binary(LENGTH), len(r), [None, pa.py_buffer(np.ascontiguousarray(bytes_))])
+            start = self.place[r] - n
+            yield self.ids[r], self.versions[r], start, start + LENGTH, window.cast(pa.binary())
 
 
 def compare_buckets(rows: DataFrame) -> DataFrame:
-    """(id, version, start, end, h1, h2): repeated stretches (no hash), and windows still to be compared, by hash."""
-    names = ["id", "version", "start", "end", "h1", "h2"]
+    """(id, version, start, end, window): repeated stretches (no window), and windows still to be compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        suffix, before, ids, packed, out = [], [], [], [], []
+        held = []
         for batch in batches:
-            for s, b, i, p in zip(*(batch.column(c).to_pylist() for c in ("suffix", "before", "id", "packed"))):
-                if b is None:
-                    v, start, _, _ = unpack(p)
-                    out.append((i, v, start, int.from_bytes(s[8:]), None, None))
-                else:
-                    suffix.append(s)
-                    before.append(b)
-                    ids.append(i)
-                    packed.append(p)
-        if suffix:
-            words = as_words(suffix, 8 * -(-LENGTH // 8))
-            order = multikey_quicksort(words)
-            lead = words[order, : K // 8]
-            edge = np.flatnonzero(np.concatenate([[True], (lead[1:] != lead[:-1]).any(axis=1), [True]])).tolist()
-            for a, b in zip(edge, edge[1:]):
-                group = sorted(((ids[r], packed[r]), suffix[r], before[r]) for r in order[a:b].tolist())
-                edge_group = a == 0 or b == len(order) or b - a > MOST
-                if b - a == 1 and not edge_group:
-                    continue
-                for at in range(0, len(group), MOST):
-                    runs, firsts = compare_windows(group[at : at + MOST])
-                    out += [(*found, None, None) for found in runs]
-                    for own, v, start, window in firsts if edge_group else ():
-                        h = xxhash.xxh3_128_intdigest(window)
-                        out.append((own, v, start, start + LENGTH, (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63)))
-                        if len(out) >= 1 << 16:
-                            yield table(out)
-                            out = []
-        yield table(out)
-
-    def table(out: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*out)) if out else [[]] * len(names)
-        return pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=names)
-
-    return rows.mapInArrow(run, ", ".join(f"`{n}` long" for n in names))
-
-
-def spans(docs: DataFrame, packed_docs: DataFrame, codec: Zstd, told_apart: bool = True) -> DataFrame:
+            known = pc.is_null(batch.column("before"))
+            done = batch.filter(known)
+            start = done.column("packed").to_numpy()
+            yield table(done.column("id"), done.column("version"), start, [int.from_bytes(s[8:]) for s in done.column("suffix").to_pylist()], None)
+            held.append(batch.filter(pc.invert(known)))
+        if not held:
+            return
+        t = pa.Table.from_batches(held)
+        del held
+        if not t.num_rows:
+            return
+        bucket = Bucket(*(pa.concat_arrays(t.column(c).chunks) for c in ("suffix", "before")), *(t.column(c).to_numpy() for c in OWN))
+        del t
+        yield table(*bucket.stretches(), None)
+        for found in bucket.open_windows():
+            yield table(*found)
+
+    def table(own, version, start, end, window) -> pa.RecordBatch:
+        numbers = [c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in (own, version, start, end)]
+        return pa.record_batch([*numbers, pa.nulls(len(numbers[0]), pa.binary()) if window is None else window], names=["id", "version", "start", "end", "window"])
+
+    return rows.mapInArrow(run, "id long, version long, start long, end long, window binary")
+
+
+def spans(docs: DataFrame, packed_docs: DataFrame, codec: Zstd, buckets: int) -> DataFrame:
     """(id, version, start, end): stretches to remove, overlapping and in any order."""
-    ordered = suffixes(packed_docs, candidates(docs, told_apart), codec, told_apart).repartitionByRange("suffix", "before")
+    ordered = suffixes(packed_docs, candidates(docs), codec).repartitionByRange(buckets, "suffix", "before")
     found = kept(compare_buckets(ordered), "repeats")
-    open_ = found.where("h1 is not null")
-    first = open_.groupBy("h1", "h2").agg(F.min(F.struct("id", "version", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    later = open_.join(first, ["h1", "h2"]).where(F.struct("id", "version", "start") > F.col("first"))
-    return found.where("h1 is null").select("id", "version", "start", "end").unionByName(later.select("id", "version", "start", "end"))
+    open_ = found.where("window is not null")
+    first = open_.groupBy("window").agg(F.min(F.struct("id", "version", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    later = open_.join(first, "window").where(F.struct("id", "version", "start") > F.col("first"))
+    return found.where("window is null").select("id", "version", "start", "end").unionByName(later.select("id", "version", "start", "end"))
 
 
-def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
     """docs' rows as (id, n_bytes, spans, kept): the maximal removed runs, and the bytes that stay."""
     plain = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), as_bytes(text_col).alias("text"))
-    told_apart = not plain.groupBy("id").count().where("count > 1").isEmpty()
+    sizes = plain.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("size")).agg(F.max("n").alias("n"), F.sum("size").alias("size")).first()
+    told_apart = (sizes.n or 0) > 1  # only where an id is repeated do its rows need more than the id
+    plain = plain.withColumn("version", F.xxhash64("text") if told_apart else F.lit(0).cast("long"))
     codec = Zstd(plain)
     packed_docs = compressed(plain, codec)
-    cuts = spans(plain.where(F.octet_length("text") >= LENGTH), packed_docs, codec, told_apart).groupBy("id").agg(F.collect_list(F.struct("version", "start", "end")).alias("cuts"))
+    cuts = spans(plain.where(F.octet_length("text") >= LENGTH), packed_docs, codec, max(1, -(-(sizes["size"] or 0) // bucket)))
+    cuts = cuts.groupBy("id", "version").agg(F.collect_list(F.struct("start", "end")).alias("cuts"))  # bounded by the text's own length
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,11 +411,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             cuts_ = batch.column("cuts")
             for k, (own, z) in enumerate(zip(batch.column("id").to_pylist(), batch.column("z").to_pylist())):
                 text = expand(z)
-                found = []
-                if cuts_[k].is_valid:
-                    v, start, end = (cuts_[k].values.field(c).to_numpy() for c in ("version", "start", "end"))
-                    mine = v == version(text, told_apart)
-                    found = merged(start[mine], end[mine])
+                found = merged(*(cuts_[k].values.field(c).to_numpy() for c in ("start", "end"))) if cuts_[k].is_valid else []
                 ids.append(None if own == NO_ID else own)
                 sizes.append(len(text))
                 runs.append([{"start": a, "end": b} for a, b in found])
@@ -381,7 +419,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(runs, kind), pa.array(rest, pa.binary())], names=["id", "n_bytes", "spans", "kept"])
 
     return (
-        packed_docs.join(cuts, "id", "left")
+        packed_docs.join(cuts, ["id", "version"], "left")
         .select("id", "z", "cuts")
         .mapInArrow(run, "id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
     )
