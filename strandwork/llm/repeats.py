@@ -42,7 +42,7 @@ from strandwork.llm.shared import as_bytes, concat_ranges, flat, kept, steps
 LENGTH, K = 100, 16
 GRAMS = LENGTH - K + 1  # K-grams in a window
 #: Bytes of all texts for each bucket of suffixes, which a task holds.
-BUCKET = 32 << 20
+BUCKET = 16 << 20
 #: Bytes of text, and of compressed text, that a step holds some arrays or copies of.
 STEP, STEP_Z = 2 << 20, 2 << 20
 NO_ID = -(1 << 63)
@@ -268,14 +268,17 @@ def multikey_quicksort(words: np.ndarray) -> np.ndarray:
     return order
 
 
-def as_matrix(values: pa.Array, wide: int, backwards: bool = False) -> np.ndarray:
+def as_matrix(values: pa.Array, wide: int, backwards: bool = False, part: int = 1 << 12) -> np.ndarray:
     """The bytes of each value, in order or backwards, padded with zeros: a row of ``wide`` bytes each."""
     data, at = flat(values)
-    size = np.diff(at)
-    row = np.repeat(np.arange(len(size)), size)
-    place = np.arange(len(data)) - np.repeat(at[:-1], size)
-    out = np.zeros((len(size), wide), np.uint8)
-    out[row, (size[row] - 1 - place) if backwards else place] = data
+    out = np.zeros((len(at) - 1, wide), np.uint8)
+    for a in range(0, len(out), part):  # the places of one part's bytes are held at a time
+        ends = at[a : a + part + 1]
+        size = np.diff(ends)
+        place = concat_ranges(np.zeros(len(size)), size)
+        if backwards:
+            place = np.repeat(size - 1, size) - place
+        out[np.repeat(np.arange(a, a + len(size)), size), place] = data[ends[0] : ends[-1]]
     return out
 
 
