@@ -63,7 +63,7 @@ def translate(annotations: DataFrame, placed: DataFrame, key: str, gff: bool = F
     """
     shift = 1 if gff else 0
     b = placed.select(key, "node_id", (F.col("path_start") + shift).alias("p0"), F.col("path_end").alias("p1"))
-    met = annotations.join(b, key).where("start < p1 and p0 < `end`")
+    met = overlap_join(annotations, b, [key], ("start", "end"), ("p0", "p1"))
     return met.select(key, "name", "node_id", F.greatest("start", "p0").alias("start"), F.least("end", "p1").alias("end"))
 
 

@@ -6,30 +6,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Width of the bins that ranges are dealt to, in letters.
+WIDTH = 1 << 14
 #: Buckets that rows are numbered in; their counts are all that meets in one task.
 BUCKETS = 1024
 
 
-def overlap_join(left: DataFrame, right: DataFrame, on: list[str], a: tuple[str, str], b: tuple[str, str], width: int | None = None) -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame, on: list[str], a: tuple[str, str], b: tuple[str, str], width: int = WIDTH) -> DataFrame:
     """Pairs that share ``on`` and whose half-open ranges a (of left) and b (of right) overlap.
 
-    Without a width the ranges of one key meet in one group. With a width they are dealt to bins of that width, so
-    a long key is split; a pair comes out of the bin in which the later of its starts lies, once.
+    Ranges are dealt to bins of a width, so a long key is split; a pair comes out of the bin in which the later of its
+    starts lies, once.
     """
     (a0, a1), (b0, b1) = a, b
     meets = (F.col(a0) < F.col(b1)) & (F.col(b0) < F.col(a1))
-    if width is None:
-        return left.join(right, on).where(meets)
     bins = lambda s, e: F.explode(F.sequence(F.floor(F.col(s) / width), F.floor(F.greatest(F.col(s), F.col(e) - 1) / width)))
     joined = left.withColumn("_bin", bins(a0, a1)).join(right.withColumn("_bin", bins(b0, b1)), [*on, "_bin"])
     return joined.where(meets & (F.floor(F.greatest(a0, b0) / width) == F.col("_bin"))).drop("_bin")
 
 
-def point_join(points: DataFrame, ranges: DataFrame, on: list[str], point: str, r: tuple[str, str], width: int | None = None) -> DataFrame:
-    """Pairs that share ``on`` and whose point lies in the half-open range."""
+def point_join(points: DataFrame, ranges: DataFrame, on: list[str], point: str, r: tuple[str, str], width: int = WIDTH) -> DataFrame:
+    """Pairs that share ``on`` and whose point lies in the half-open range, which is dealt to bins."""
     inside = (F.col(r[0]) <= F.col(point)) & (F.col(point) < F.col(r[1]))
-    if width is None:
-        return points.join(ranges, on).where(inside)
     spread = ranges.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(r[0]) / width), F.floor(F.greatest(F.col(r[0]), F.col(r[1]) - 1) / width))))
     return points.withColumn("_bin", F.floor(F.col(point) / width)).join(spread, [*on, "_bin"]).where(inside).drop("_bin")
 

@@ -128,26 +128,16 @@ def reachable(p: Projected):
     return G.reachable_blocks(_pruned(p))
 
 
+_LINKS = "lk as (select distinct block_group_id as g, source_node_id as a, source_start as a0, source_end as a1, target_node_id as b, target_start as b0, target_end as b1 from pairs)"
 _WALKS = """paths as (select block_group_id, ['1.0.0'] as seen, 1::bigint as node_id, 0::bigint as start, 0::bigint as "end", 0::bigint as pos, '' as spelled from (select distinct block_group_id from {t})
  union all select k.block_group_id, list_append(seen, k.target_node_id || '.' || k.target_start || '.' || k.target_end), k.target_node_id, k.target_start, k.target_end, pos + k.target_end - k.target_start, '' from paths w
  join (select distinct block_group_id, source_node_id, source_start, source_end, target_node_id, target_start, target_end from {t}) k on k.block_group_id = w.block_group_id and k.source_node_id = w.node_id and k.source_start = w.start and k.source_end = w."end"
  and not list_contains(seen, k.target_node_id || '.' || k.target_start || '.' || k.target_end))"""
-_SMALL = "small as (select * from pairs where block_group_id % 5 = 0)"
 
 
-@query(f"""with recursive {_SMALL}, {_WALKS.format(t='small')} select block_group_id, array_to_string(seen, ' ') as walk from paths where node_id = 2""")
+@query(f"""with recursive {_WALKS.format(t='pairs')} select block_group_id, array_to_string(seen, ' ') as walk from paths where node_id = 2""")
 def simple_paths(p: Projected):
-    """All walks of every fifth order, as the SQL asks; simple_paths_whole has those of all orders."""
-    return _walks(B.graph(p.edges()).where("block_group_id % 5 = 0"))
-
-
-@query()
-def simple_paths_whole(p: Projected):
-    return _walks(B.graph(p.edges()))
-
-
-def _walks(pairs):
-    got = G.enumerated(pairs).withColumn("t", F.concat(segment_id("node_id", "start", "end"), F.lit(" ")))
+    got = G.enumerated(B.graph(p.edges())).withColumn("t", F.concat(segment_id("node_id", "start", "end"), F.lit(" ")))
     return got.groupBy("block_group_id", "path").agg(F.rtrim(P.joined_in_order("step", "t")).alias("walk")).select("block_group_id", "walk")
 
 
@@ -160,38 +150,32 @@ def intermediate_edges(p: Projected):
     return G.links_between(B.graph(p.edges()))
 
 
-@query(f"""with recursive {_SMALL}, steps2 as (select distinct block_group_id, source_node_id, source_start, source_end, target_node_id, target_start, target_end from small),
+_PLACED = """steps2 as (select distinct block_group_id, source_node_id, source_start, source_end, target_node_id, target_start, target_end from pairs),
  walk as (select distinct block_group_id, 1::bigint as node_id, 0::bigint as start, 0::bigint as "end", 0::bigint as pos from steps2
- union select k.block_group_id, k.target_node_id, k.target_start, k.target_end, w.pos + k.target_end - k.target_start from walk w join steps2 k on k.block_group_id = w.block_group_id and k.source_node_id = w.node_id and k.source_start = w.start and k.source_end = w."end")
- select block_group_id, node_id, start, "end", pos - ("end" - start) as path_start, pos as path_end from walk where node_id > 2""")
-def flatten_intervals(p: Projected):
-    """Placements in every fifth order, as the SQL asks; flatten_intervals_whole has those in all orders."""
-    return G.placements(B.graph(p.edges()).where("block_group_id % 5 = 0"))
+ union select k.block_group_id, k.target_node_id, k.target_start, k.target_end, w.pos + k.target_end - k.target_start from walk w join steps2 k on k.block_group_id = w.block_group_id and k.source_node_id = w.node_id and k.source_start = w.start and k.source_end = w."end"),
+ placed as (select block_group_id, node_id, start, "end", pos - ("end" - start) as path_start, pos as path_end from walk where node_id > 2)"""
 
 
-@query()
-def flatten_intervals_whole(p: Projected):
+@query(f"with recursive {_PLACED} select * from placed")
+def flatten_intervals(p: Projected):
     return G.placements(B.graph(p.edges()))
 
 
-@query()
+@query(f"""with recursive {_PLACED} select * from placed p where not exists (select 1 from placed x join placed y on x.block_group_id = y.block_group_id and x.node_id = y.node_id
+ where x.block_group_id = p.block_group_id and x.node_id = p.node_id and (x.start, x."end", x.path_start, x.path_end) <> (y.start, y."end", y.path_start, y.path_end)
+ and (x.start < y."end" and y.start < x."end" or x.path_start < y.path_end and y.path_start < x.path_end))""")
 def flatten_unambiguous(p: Projected):
     return G.placements(B.graph(p.edges()), drop_ambiguous=True)
 
 
-@query("""select b.block_group_id, p.path_id, row_number() over (partition by p.path_id order by p.block, case when p.strand = '-' then -b.start else b.start end) as step, b.node_id, b.start, b."end", p.strand from pblocks p join blocks b on b.block_group_id = p.path_id and b.node_id = p.node_id where p.strand = '+' and p.path_id not in (select path_id from pblocks where strand = '-')
- union all select distinct path_id, path_id, 0, 1, 0, 0, '+' from pblocks where path_id not in (select path_id from pblocks where strand = '-')
- union all select path_id, path_id, count(*) + 1, 2, 0, 0, '+' from pblocks p join blocks b on b.block_group_id = p.path_id and b.node_id = p.node_id where path_id not in (select path_id from pblocks where strand = '-') group by path_id""")
+@query("""with inner_blocks as (select p.path_id, row_number() over (partition by p.path_id order by p.block, case when p.strand = '-' then -b.start else b.start end) as step, b.node_id, b.start, b."end", p.strand
+  from pblocks p join blocks b on b.block_group_id = p.path_id and b.node_id = p.node_id),
+ walks as (select * from inner_blocks union all select distinct path_id, 0, 1, 0, 0, '+' from pblocks union all select path_id, count(*) + 1, 2, 0, 0, '+' from inner_blocks group by path_id),
+ linked as (select *, lead(node_id) over o as next_node, lead(start) over o as next_start from walks window o as (partition by path_id order by step)),
+ broken as (select path_id from linked l where next_node is not null and not exists (select 1 from pairs k where k.block_group_id = l.path_id and k.source_node_id = l.node_id and k.source_start = l.start and k.target_node_id = l.next_node and k.target_start = l.next_start))
+ select path_id as block_group_id, path_id, step, node_id, start, "end", strand from walks where path_id not in (select path_id from broken)""")
 def project_path(p: Projected):
-    b = p.path_blocks()
-    minus = b.where("strand = '-'").select("path_id").distinct()
-    plus = b.join(minus, "path_id", "left_anti").select(F.col("path_id").alias("block_group_id"), "path_id", "block", "node_id", "start", "end", "strand")
-    return G.projected_paths(B.graph(p.edges()).join(plus.select("block_group_id").distinct(), "block_group_id", "left_semi"), plus)
-
-
-@query()
-def project_path_whole(p: Projected):
-    """All paths, those with minus strands too (project_path leaves these out, as its SQL does)."""
+    """All paths; one that the split graph has no walk for has no rows."""
     b = p.path_blocks().select(F.col("path_id").alias("block_group_id"), "path_id", "block", "node_id", "start", "end", "strand")
     return G.projected_paths(B.graph(p.edges()), b)
 
@@ -207,7 +191,8 @@ def components(p: Projected):
     return G.per_group(e, lambda links: [(n[0], part[0][0]) for part in G.components(links) for n in part], "node long, component long")
 
 
-@query()
+@query("""with r as (select path_id, min(node_id) as first, arg_max(node_id, idx) as last, count(distinct node_id) as n from steps group by 1)
+ select path_id as block_group_id, unnest([1, last, last]) as source, unnest([first, 2, first]) as target from r where n >= 3""")
 def cycle_breaks(p: Projected):
     """Links that would tie each order's inner blocks, taken without the virtual nodes and closed to a ring."""
     s = p.steps()
@@ -218,7 +203,10 @@ def cycle_breaks(p: Projected):
     return G.per_group(pairs, lambda links: [(a[0], b[0]) for a, b in G.cycle_links(links, G.START, G.END)], "source long, target long")
 
 
-@query()
+@query(f"""with recursive {_LINKS}, und as (select distinct g, a || '.' || a0 as x, a as xn, a0 as x0, a1 as x1, b || '.' || b0 as y from lk where (a, a0) <> (b, b0) union select g, b || '.' || b0, b, b0, b1, a || '.' || a0 from lk where (a, a0) <> (b, b0)),
+ cut as (select g, x as v, xn, x0, x1, min(y) as y from und group by 1, 2, 3, 4, 5),
+ walk as (select g, v, y as node from cut union select w.g, w.v, u.y from walk w join und u on u.g = w.g and u.x = w.node and u.y <> w.v)
+ select distinct c.g as block_group_id, c.xn as node_id, c.x0 as start, c.x1 as "end" from cut c join und u on u.g = c.g and u.x = c.v where not exists (select 1 from walk w where w.g = c.g and w.v = c.v and w.node = u.y)""")
 def articulation(p: Projected):
     return G.cut_blocks(B.graph(p.edges()))
 
@@ -240,19 +228,13 @@ def boundary_edges(p: Projected):
     return B.boundary_links(cut, blocks)
 
 
-@query(f"""with recursive t as (select * from kept where block_group_id % 5 = 0), w2 as (select distinct block_group_id, source_node_id, source_start, source_end, target_node_id, target_start, target_end, target_strand from t),
+@query("""with recursive w2 as (select distinct block_group_id, source_node_id, source_start, source_end, target_node_id, target_start, target_end, target_strand from kept),
  txt as (select w2.*, case when target_node_id = 2 then '' when target_strand = '-' then reverse(translate(substr(sequence, target_start + 1, target_end - target_start), 'ACGT', 'TGCA')) else substr(sequence, target_start + 1, target_end - target_start) end as piece
   from w2 left join steps s on s.node_id = target_node_id left join seqs on part = p_partkey),
  walk as (select distinct block_group_id, 1::bigint as node_id, 0::bigint as start, 0::bigint as "end", '' as sequence from txt
  union all select k.block_group_id, k.target_node_id, k.target_start, k.target_end, w.sequence || k.piece from walk w join txt k on k.block_group_id = w.block_group_id and k.source_node_id = w.node_id and k.source_start = w.start and k.source_end = w."end")
  select distinct block_group_id, sequence from walk where node_id = 2""")
 def all_sequences(p: Projected):
-    """What the walks of every fifth order's pruned graph spell, as the SQL asks; all_sequences_whole takes all orders."""
-    return G.spelled_paths(_pruned(p).where("block_group_id % 5 = 0"), p.node_sequences())
-
-
-@query()
-def all_sequences_whole(p: Projected):
     return G.spelled_paths(_pruned(p), p.node_sequences())
 
 
@@ -307,17 +289,20 @@ def anchor_consume(p: Projected):
     return U.consumed(s, ["path_id"], "matches").select("path_id", "step", "position")
 
 
-@query("""with b as (select block_group_id, source_node_id as a, target_node_id as b, edge_id from edges)
- select block_group_id, edge_id, case when a <= 2 then a else a + 500000000 end as source_node_id, case when b <= 2 then b else b + 500000000 end as target_node_id from b where block_group_id % 7 = 0""")
+@query(f"""with recursive {_LINKS}, n as (select path_id as g, count(*) as n from steps group by 1),
+ f as (select g, node_id, length, strand from steps join n on path_id = g where idx = n // 4), l as (select g, node_id, length, strand from steps join n on path_id = g where idx = n * 3 // 4),
+ fb as (select f.g, f.node_id, b.start from f join blocks b on b.block_group_id = f.g and b.node_id = f.node_id and b.start = 0 where exists (select 1 from lk where lk.g = f.g and (lk.a = f.node_id and lk.a0 = 0 or lk.b = f.node_id and lk.b0 = 0))),
+ lb as (select l.g, l.node_id, b.start from l join blocks b on b.block_group_id = l.g and b.node_id = l.node_id and b."end" = l.length where exists (select 1 from lk where lk.g = l.g and (lk.a = l.node_id and lk.a1 = l.length or lk.b = l.node_id and lk.b1 = l.length))),
+ fw as (select * from fb union select k.g, k.b, k.b0 from fw join lk k on k.g = fw.g and k.a = fw.node_id and k.a0 = fw.start),
+ bw as (select * from lb union select k.g, k.a, k.a0 from bw join lk k on k.g = bw.g and k.b = bw.node_id and k.b0 = bw.start),
+ both_ways as (select * from fw intersect select * from bw),
+ firsts as (select * from (select *, row_number() over (partition by block_group_id, source_node_id, source_start, source_end, target_node_id, target_start, target_end order by edge_id) as r from pairs) where r = 1),
+ made as (select p.block_group_id, p.edge_id, source_node_id, source_end as source_coordinate, source_strand, target_node_id, target_start as target_coordinate, target_strand, chromosome_index, 0 as phased from firsts p
+  join both_ways s on s.g = p.block_group_id and s.node_id = source_node_id and s.start = source_start join both_ways t on t.g = p.block_group_id and t.node_id = target_node_id and t.start = target_start
+  union all select g, null, 1, 0, '+', node_id, 0, strand, 0, 0 from f union all select g, null, node_id, length, strand, 2, 0, '+', 0, 0 from l)
+ select * replace (case when source_node_id > 2 then source_node_id + 500000000 else source_node_id end as source_node_id, case when target_node_id > 2 then target_node_id + 500000000 else target_node_id end as target_node_id) from made""")
 def derive_subgraph(p: Projected):
-    e = p.edges().where("block_group_id % 7 = 0").select("block_group_id", "edge_id", "source_node_id", "target_node_id")
-    ids = p.steps().where("path_id % 7 = 0").select(F.col("path_id").alias("block_group_id"), F.col("node_id").alias("old_id"), (F.col("node_id") + 500000000).alias("new_id"))
-    return U.remapped(e, ids, "block_group_id")
-
-
-@query()
-def derive_subgraph_whole(p: Projected):
-    """The subgraph of every order between the lines at a quarter and at three quarters (derive_subgraph, as its SQL, only renumbers nodes of every seventh)."""
+    """The subgraph of every order between the lines at a quarter and at three quarters, on copied nodes."""
     s = p.steps().withColumnRenamed("path_id", "block_group_id")
     n = s.groupBy("block_group_id").agg(F.count(F.lit(1)).alias("n"))
     placed = s.join(n, "block_group_id")

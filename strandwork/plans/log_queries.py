@@ -111,15 +111,8 @@ def dot_lines(p: Projected):
     return sinks.dot_nodes(b, ["path_id"])
 
 
-@query("""with recursive up as (select hash as start, hash, parent_hash, 0 as depth from ops where hash % 50 = 0 union all select u.start, o.hash, o.parent_hash, u.depth + 1 from up u join ops o on o.hash = u.parent_hash) select start, hash, depth from up""")
+@query("""with recursive up as (select hash as start, hash, parent_hash, 0 as depth from ops union all select u.start, o.hash, o.parent_hash, u.depth + 1 from up u join ops o on o.hash = u.parent_hash) select start, hash, depth from up""")
 def op_upstream(p: Projected):
-    ops = p.operations()
-    return V.upstream(ops, ops.where("hash % 50 = 0").select("hash"))
-
-
-@query()
-def op_upstream_whole(p: Projected):
-    """From every operation; op_upstream starts from every fiftieth, as its SQL does."""
     ops = p.operations()
     return V.upstream(ops, ops.select("hash"))
 

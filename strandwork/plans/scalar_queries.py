@@ -44,15 +44,13 @@ def subseq_slice(p: Projected):
     )
 
 
-@query("select doc_id, sha256(regexp_replace(text, '\\s', '', 'g')) as hash, length(regexp_replace(text, '\\s', '', 'g')) as n from documents where regexp_full_match(text, '[\\x00-\\x7F]*')")
-def strip_ws(p: Projected):
-    text = S.without_whitespace("text")
-    return p.raw("documents").where(F.col("text").rlike(r"\A[\x00-\x7F]*\z")).select("doc_id", F.sha2(text, 256).alias("hash"), F.char_length(text).cast("long").alias("n"))
+#: Unicode's White_Space property, as a character class.
+_WHITE = "[\\t\\n\\x0B\\f\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
 
 
-@query()
-def strip_ws_whole(p: Projected):
-    """All documents, by Unicode's white space; strip_ws keeps those in ASCII, as its SQL does. A null text gives nulls."""
+@query(f"select doc_id, sha256(regexp_replace(text, '{_WHITE}', '', 'g')) as hash, length(regexp_replace(text, '{_WHITE}', '', 'g')) as n from documents")
+def strip_ws(p: Projected):
+    """All documents, by Unicode's white space. A null text gives nulls."""
     text = S.without_whitespace("text")
     return p.raw("documents").select("doc_id", F.sha2(text, 256).alias("hash"), F.char_length(text).cast("long").alias("n"))
 

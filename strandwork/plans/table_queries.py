@@ -137,13 +137,13 @@ def numbered_rows(p: Projected):
     return got.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"), F.min("id").alias("first"), F.max("id").alias("last"))
 
 
-def _parts(p: Projected, chosen: str = "path_id % 3 = 0"):
-    """A library for each chosen order of at most four columns: lines are columns by their number modulo 4."""
+def _parts(p: Projected):
+    """A library for each order of at most four columns: lines are columns by their number modulo 4."""
     col = F.dense_rank().over(W.partitionBy("path_id").orderBy(F.col("line") % 4)) - 1
-    return p.steps().where(chosen).select("path_id", col.cast("long").alias("column"), "node_id", "length")
+    return p.steps().select("path_id", col.cast("long").alias("column"), "node_id", "length")
 
 
-_PARTS = "lib as (select path_id, dense_rank() over (partition by path_id order by line % 4) - 1 as col, node_id, length from steps where path_id % 3 = 0)"
+_PARTS = "lib as (select path_id, dense_rank() over (partition by path_id order by line % 4) - 1 as col, node_id, length from steps)"
 
 
 @query(f"""with {_PARTS} select a.path_id, a.node_id as source_node_id, a.length as source_coordinate, b.node_id as target_node_id, 0 as target_coordinate from lib a join lib b on a.path_id = b.path_id and b.col = a.col + 1
@@ -157,17 +157,6 @@ def library_size(p: Projected):
     return U.library_size(_parts(p), ["path_id"])
 
 
-@query()
-def library_edges_whole(p: Projected):
-    """The libraries of all orders; library_edges and library_size take every third, as their SQL does."""
-    return U.layered(_parts(p, "true"), ["path_id"])
-
-
-@query()
-def library_size_whole(p: Projected):
-    return U.library_size(_parts(p, "true"), ["path_id"])
-
-
 @query("""select g.o_custkey, g.position, a.source_node_id, a.source_coordinate, b.target_node_id, b.target_coordinate, 1 + row_number() over (partition by g.o_custkey order by g.position, a.source_node_id, b.target_node_id) as chromosome_index
  from (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderkey) as position from orders) g
  join (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderkey) as position from orders) h on g.o_custkey = h.o_custkey and h.position = g.position + 1

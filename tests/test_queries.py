@@ -13,7 +13,8 @@ from strandwork.operators import versions as V
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents"]
 CHOSEN = [
     "path_sequence", "seq_identity_hash", "genotype_parse", "range_overlap_wrap", "merge_contiguous", "upsert_edges_ordered", "block_split", "prune_edges", "path_replace_span",
-    "block_mappings", "propagate_annotations", "op_upstream", "changeset_dependencies",
+    "block_mappings", "propagate_annotations", "op_upstream", "changeset_dependencies", "simple_paths", "flatten_intervals", "flatten_unambiguous", "all_sequences",
+    "library_edges", "library_size", "project_path", "derive_subgraph", "articulation", "cycle_breaks", "strip_ws", "accession_edges", "change_to_edges",
 ]
 
 

@@ -1,49 +1,19 @@
-"""Queries over all rows, against the registered SQL without its selection of rows or against brute force."""
+"""Registered queries against brute force."""
 
 import hashlib
 
-import duckdb
-import pytest
-
 from strandwork import catalog
 from strandwork.operators import blocks as B
 from strandwork.plans.project import Projected
-from tests.test_queries import TABLES, plain
-
-#: The whole query, the query whose SQL is taken, and the selection that is cut out of it.
-WIDENED = [
-    ("simple_paths_whole", "simple_paths", " where block_group_id % 5 = 0"),
-    ("flatten_intervals_whole", "flatten_intervals", " where block_group_id % 5 = 0"),
-    ("all_sequences_whole", "all_sequences", " where block_group_id % 5 = 0"),
-    ("op_upstream_whole", "op_upstream", " where hash % 50 = 0"),
-    ("library_edges_whole", "library_edges", " where path_id % 3 = 0"),
-    ("library_size_whole", "library_size", " where path_id % 3 = 0"),
-]
-
 
 def rows_of(spark, sf, name):
     return catalog.QUERIES[name](spark, sf).collect()
 
 
-@pytest.mark.parametrize("name, narrow, selection", WIDENED)
-def test_query_equals_widened_sql(spark, sf, name, narrow, selection):
-    con = duckdb.connect()
-    for t in TABLES:
-        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
-    sql = catalog.ORACLE_SQL[narrow]
-    assert selection in sql
-    result = con.execute(sql.replace(selection, ""))
-    names = [d[0] for d in result.description]
-    want = sorted(tuple(map(plain, r)) for r in result.fetchall())
-    got = rows_of(spark, sf, name)
-    assert sorted(tuple(plain(r[c]) for c in names) for r in got) == want
-    assert len(got) > len(rows_of(spark, sf, narrow))
-
-
 def test_unambiguous_placements_of_all_orders(spark, sf):
     place = lambda r: (r.start, r.end, r.path_start, r.path_end)
     by = {}
-    for r in rows_of(spark, sf, "flatten_intervals_whole"):
+    for r in rows_of(spark, sf, "flatten_intervals"):
         by.setdefault((r.block_group_id, r.node_id), []).append(place(r))
     meet = lambda a, b: a[0] < b[1] and b[0] < a[1] or a[2] < b[3] and b[2] < a[3]
     want = {(k, x) for k, v in by.items() if not any(x != y and meet(x, y) for x in v for y in v) for x in v}
@@ -71,11 +41,10 @@ def test_projection_of_all_paths(spark, sf):
         if all((k, a[0], b[0]) in links for a, b in zip(walk, walk[1:])):
             want[k] = walk
     got = {}
-    for r in sorted(rows_of(spark, sf, "project_path_whole"), key=lambda r: (r.path_id, r.step)):
+    for r in sorted(rows_of(spark, sf, "project_path"), key=lambda r: (r.path_id, r.step)):
         got.setdefault(r.path_id, []).append(((r.node_id, r.start, r.end), r.strand))
     assert got == want
-    minus = {k for k, walk in got.items() if any(s == "-" for _, s in walk)}
-    assert minus and set(got) - minus == {r.path_id for r in rows_of(spark, sf, "project_path")}
+    assert any(s == "-" for walk in got.values() for _, s in walk)
 
 
 def test_derived_subgraphs(spark, sf):
@@ -101,7 +70,7 @@ def test_derived_subgraphs(spark, sf):
                 want.add((k, e.edge_id, new(s[0]), s[2], e.source_strand, new(t[0]), t[1], e.target_strand, e.chromosome_index, e.phased))
         want.add((k, None, 1, 0, "+", new(a.node_id), 0, a.strand, 0, 0))
         want.add((k, None, new(b.node_id), b.length, b.strand, 2, 0, "+", 0, 0))
-    got = [tuple(r) for r in rows_of(spark, sf, "derive_subgraph_whole")]
+    got = [tuple(r) for r in rows_of(spark, sf, "derive_subgraph")]
     assert set(got) == want and len(got) == len(want)
     assert {r[0] for r in got} == set(steps)
 
@@ -119,5 +88,36 @@ def test_white_space_of_all_documents(spark, sf, tmp_path):
         for r in docs:
             bare = None if r.text is None else r.text.translate({ord(c): None for c in WHITE})
             want.add((r.doc_id, *((None, None) if bare is None else (hashlib.sha256(bare.encode()).hexdigest(), len(bare)))))
-        got = rows_of(spark, folder, "strip_ws_whole")
+        got = rows_of(spark, folder, "strip_ws")
         assert {(r.doc_id, r.hash, r.n) for r in got} == want and len(got) == len(docs)
+
+
+def test_parts_of_all_orders(spark, sf):
+    """Parts are runs of a topological order that end at an articulation point, of three to six blocks but the last."""
+    p = Projected(spark, sf)
+    links = {}
+    for r in B.graph(p.edges()).drop("layers").collect():
+        links.setdefault(r.block_group_id, set()).add(((r.source_node_id, r.source_start, r.source_end), (r.target_node_id, r.target_start, r.target_end)))
+    parts = {}
+    for r in rows_of(spark, sf, "partition_parts"):
+        parts.setdefault(r.block_group_id, {}).setdefault(r.part, []).append((r.node_id, r.start, r.end))
+    cut = {}
+    for r in rows_of(spark, sf, "articulation"):
+        cut.setdefault(r.block_group_id, set()).add((r.node_id, r.start, r.end))
+    assert set(parts) == set(links)
+    for k, own in links.items():
+        place = {b: n for n, part in parts[k].items() for b in part}
+        assert sorted(place) == sorted({b for link in own for b in link})
+        assert all(place[a] <= place[b] for a, b in own if a != b)
+        for n, part in parts[k].items():
+            points = [b for b in part if b in cut.get(k, ())]
+            assert len(part) <= 6 and (n == max(parts[k]) or len(part) == 6 or (len(part) >= 3 and part[-1] in points))
+            assert not any(b in points for b in part[2:-1])
+
+
+def test_ring_breaks(spark, sf):
+    steps = {}
+    for r in Projected(spark, sf).steps().orderBy("path_id", "idx").collect():
+        steps.setdefault(r.path_id, []).append(r.node_id)
+    want = {(k, *link) for k, n in steps.items() if len(n) > 2 for link in ((1, n[0]), (n[-1], 2), (n[-1], n[0]))}
+    assert {(r.block_group_id, r.source, r.target) for r in rows_of(spark, sf, "cycle_breaks")} == want
