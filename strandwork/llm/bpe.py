@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from strandwork.llm.shared import as_bytes, concat_ranges, steps
 
 #: Words remembered by one Python worker before it starts anew (some 100 MB at most).
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 #: Fixed value: the pattern of byte-level vocabularies, which word_starts() follows.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 OTHER, LETTER, NUMBER, SPACE = range(4)

@@ -37,15 +37,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandwork.llm.components import components
-from strandwork.llm.shared import as_bytes, concat_ranges, forget, kept, steps
+from strandwork.llm.shared import as_bytes, concat_ranges, flat, forget, kept, steps
 from strandwork.llm.simhash import links, shingle_hashes, simhashes, with_groups
 
 SIZE, LEAST = 5, 0.8
 #: Bytes of text in which shingles are counted, the share of their texts that must hold a shingle (OFTEN texts at least) for
 #: it to come last, and how many such shingles the order knows (the most frequent; the others are ordered as rare ones).
-COUNTED, SHARE, OFTEN, KNOWN = 16 << 20, 0.002, 8, 1 << 18
+COUNTED, SHARE, OFTEN, KNOWN = 8 << 20, 0.002, 8, 1 << 18
 #: Classes of hashes that are counted for the bound at first and before sets are moved, bits of the bitmap of ids, and pairs that one step looks at.
-CLASSES, FINE, BITS, PAIRS = 64, 512, 1 << 24, 1 << 19
+CLASSES, FINE, BITS, PAIRS = 64, 512, 1 << 24, 1 << 16
 
 
 def shingles(text: bytes, size: int = SIZE) -> np.ndarray:
@@ -224,9 +224,10 @@ def verified(docs: DataFrame, pairs: DataFrame, id_col: str = "doc_id", text_col
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            (left, a), (right, b) = flat(batch.column("x")), flat(batch.column("y"))
             ok = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
+            for k in range(batch.num_rows):
+                x, y = np.frombuffer(left[a[k] : a[k + 1]], np.int64), np.frombuffer(right[b[k] : b[k + 1]], np.int64)
                 ok.append(bool(len(x) and len(y)) and len(np.intersect1d(x, y, assume_unique=True)) >= least_common(len(x), len(y)))
             yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
@@ -242,11 +243,13 @@ def verified(docs: DataFrame, pairs: DataFrame, id_col: str = "doc_id", text_col
     return out
 
 
-def several(sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b): links between the nodes of the sets that rows of one id have."""
-    each = sets.select("id", "k1", "k2").distinct()
-    many = each.groupBy("id").count().where("count > 1").select("id")
-    own = with_groups(each.join(many, "id"), nodes.select("k1", "k2", "n", "node"), ["k1", "k2"], "n").select("id", "node")
+def several(sets: DataFrame, nodes: DataFrame) -> DataFrame | None:
+    """(a, b): links between the nodes of the sets that rows of one id have; None if every id stands once."""
+    many = sets.groupBy("id").count().where("count > 1").select("id")
+    if many.isEmpty():
+        return None
+    each = sets.join(many, "id").select("id", "k1", "k2").distinct()
+    own = with_groups(each, nodes.select("k1", "k2", "n", "node"), ["k1", "k2"], "n").select("id", "node")
     return own.join(own.groupBy("id").agg(F.min("node").alias("b")), "id").where("node != b").select(F.col("node").alias("a"), "b").distinct()
 
 
@@ -259,16 +262,18 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     last = np.sort(np.array([r.shingle for r in most], np.int64))
     sets = every.where("texts is null").select("id", "fp", "k1", "k2")
     nodes = kept(sets.groupBy("k1", "k2").agg(F.min("id").alias("node"), F.min("fp").alias("fp"), F.count(F.lit(1)).alias("n")), "near-nodes")
-    tied = kept(several(sets, nodes), "near-tied")
-    groups = kept(nodes.groupBy("fp").agg(F.min("node").alias("id")), "near-groups")
-    by_bits = links(groups, budget).unionByName(nodes.join(groups, "fp").where("node != id").select(F.col("node").alias("a"), F.col("id").alias("b")))
+    tied = several(sets, nodes)
+    groups = kept(nodes.groupBy("fp").agg(F.min("node").alias("id"), F.count(F.lit(1)).alias("n")), "near-groups")
+    equal = nodes.select("fp", "node").join(groups.where("n > 1"), "fp").where("node != id").select(F.col("node").alias("a"), F.col("id").alias("b"))
+    by_bits = links(groups.select("fp", "id"), budget).unionByName(equal)
     head = kept(heads(docs, last, id_col, text_col).join(nodes.select(F.col("node").alias("id")), "id", "left_semi"), "near-heads")
     posts = head.select("id", F.posexplode("prefix").alias("pos", "h")).select("h", "id", F.col("pos").cast("long").alias("pos"))
     shared = kept(posts.withColumn("rows", F.count(F.lit(1)).over(W.partitionBy("h"))).where("rows > 1").drop("rows"), "near-shared")
     rows = shared.join(head.select("id", "n", "classes"), "id")
     pairs = by_bits.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     star = kept(candidates(rows.withColumn("component", F.col("id")), True).unionByName(pairs).distinct(), "near-star")
-    first = verified(docs, star, id_col, text_col).unionByName(tied)
+    first = verified(docs, star, id_col, text_col)
+    first = first if tied is None else first.unionByName(tied)
     named = components(spark, first).select(F.col("node").alias("id"), "root")
     rest = kept(candidates(rows.join(named, "id", "left").withColumn("component", F.coalesce("root", "id")), False), "near-rest")
     second = verified(docs, rest, id_col, text_col)

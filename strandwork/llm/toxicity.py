@@ -41,7 +41,7 @@ TABLE_RATE = 0.02
 SUPPORT = 4
 THRESHOLD = 0.3
 #: Words whose inputs one Python worker remembers.
-REMEMBERED = 100_000
+REMEMBERED = 60_000
 
 
 def word_features(found: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
