@@ -42,7 +42,7 @@ from strandwork.llm.shared import as_bytes, concat_ranges, flat, kept, steps
 LENGTH, K = 100, 16
 GRAMS = LENGTH - K + 1  # K-grams in a window
 #: Bytes of all texts for each bucket of suffixes, which a task holds.
-BUCKET = 16 << 20
+BUCKET = 12 << 20
 #: Bytes of text, and of compressed text, that a step holds some arrays or copies of.
 STEP, STEP_Z = 2 << 20, 2 << 20
 NO_ID = -(1 << 63)
