@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from strandwork.schema import END_NODE, START_NODE
+from strandwork.schema import END_NODE, FILE_KINDS, START_NODE
 
 
 def _c(x) -> Column:
@@ -154,3 +154,11 @@ def inner_truncation(x, most: int) -> Column:
     """A label cut in its middle to ``most`` letters, with one ellipsis."""
     c, left = _c(x), (most - 1) - (most - 1) // 2
     return F.when(F.length(c) <= most, c).otherwise(F.concat(F.substring(c, 1, left), F.lit("…"), F.right(c, F.lit((most - 1) // 2))))
+
+
+def file_type(path: str) -> str:
+    """The kind of a file by its name; packed files go by the name before."""
+    name = path.lower()
+    for packed in (".gz", ".bgz", ".bgzf"):
+        name = name.removesuffix(packed)
+    return FILE_KINDS.get(name.rpartition(".")[2], "none")

@@ -69,17 +69,46 @@ def assemble(edges: DataFrame, blocks: DataFrame, group: str = "block_group_id")
 
 
 def graph(edges: DataFrame, group: str = "block_group_id") -> DataFrame:
-    return assemble(edges, split(edges, group), group)
+    """assemble(edges, split(edges)) in two shuffles and without joins.
+
+    The ends of all edges meet by node, where a running maximum gives each the boundary before or after it; then the two
+    ends of an edge meet by the place where it leaves, and so do the edges of a pair, and of a block.
+    """
+    own = ["edge_id", "source_node_id", "source_coordinate", "source_strand", "target_node_id", "target_coordinate", "target_strand", "chromosome_index", "phased"]
+    end = lambda side: F.struct(F.lit(side == "source").alias("_out"), F.col(f"{side}_node_id").alias("_node"), F.col(f"{side}_coordinate").alias("_at"))
+    ends = edges.select(group, *own, F.inline(F.array(end("source"), end("target"))))
+    node = W.partitionBy(group, "_node")
+    before = F.max("_at").over(node.orderBy("_at").rangeBetween(W.unboundedPreceding, -1))
+    after = F.min("_at").over(node.orderBy(F.desc("_at")).rangeBetween(W.unboundedPreceding, -1))
+    terminal = is_terminal("_node")
+    virtual = F.when(F.col("_at") == 0, F.lit(0).cast("long"))  # the blocks of the virtual nodes have no length
+    far = F.when(F.col("_out"), F.when(terminal, virtual).otherwise(before)).otherwise(F.when(terminal, virtual).otherwise(after))
+    placed = ends.withColumn("_far", far).where("_far is not null")
+    whole = (
+        placed.repartition(group, "source_node_id", "source_coordinate")
+        .groupBy(group, *own)
+        .agg(F.max(F.when(F.col("_out"), F.col("_far"))).alias("source_start"), F.max(F.when(~F.col("_out"), F.col("_far"))).alias("target_end"))
+        .where("source_start is not null and target_end is not null")
+    )
+    pair = [group, "source_node_id", "source_start", "source_coordinate", "target_node_id", "target_coordinate", "target_end"]
+    layer = F.struct("edge_id", "source_strand", "target_strand", "chromosome_index", "phased")
+    return (
+        whole.groupBy(*pair)
+        .agg(F.sort_array(F.collect_list(layer)).alias("layers"))
+        .withColumnRenamed("source_coordinate", "source_end")
+        .withColumnRenamed("target_coordinate", "target_start")
+    )
 
 
 def pruned(pairs: DataFrame, group: str = "block_group_id") -> DataFrame:
     """Of a source block's edges on one layer (but -1) the newest stays; the others' node pairs go, with all their layers."""
     source = [group, "source_node_id", "source_start", "source_end"]
     pair = [*source, "target_node_id", "target_start", "target_end"]
-    each = pairs.select(*pair, F.explode("layers").alias("x")).select(*pair, "x.edge_id", "x.chromosome_index").where("chromosome_index <> -1")
-    best = F.max("edge_id").over(W.partitionBy(*source, "chromosome_index"))
-    losers = each.withColumn("_best", best).where("edge_id < _best").select(*pair).distinct()
-    return pairs.join(losers, pair, "left_anti")
+    each = pairs.select(*pair, F.explode("layers").alias("x"))
+    best = F.max("x.edge_id").over(W.partitionBy(*source, "x.chromosome_index"))
+    lost = (F.col("x.chromosome_index") != -1) & (F.col("x.edge_id") < best)
+    kept = each.withColumn("_lost", lost).groupBy(*pair).agg(F.sort_array(F.collect_list("x")).alias("layers"), F.max("_lost").alias("_lost"))
+    return kept.where("not _lost").drop("_lost")
 
 
 def boundary_links(pairs: DataFrame, blocks: DataFrame, group: str = "block_group_id") -> DataFrame:

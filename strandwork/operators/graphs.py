@@ -252,22 +252,24 @@ def links_between(pairs: DataFrame) -> DataFrame:
 
 
 def links_between_blocks(pairs: DataFrame, ends: DataFrame, group: str = "block_group_id") -> DataFrame:
-    """Links of each group on any walk from its start to its end block.
+    """Links of each group on any walk from a start to an end block.
 
-    ends: (group, start_node, start_at, end_node, end_at). The start block is the last of its node's that holds the coordinate, the end block the first.
+    ends: (group, start_node, start_at, end_node, end_at), with range_id if a group has several, which the links then carry.
+    The start block is the last of its node's that holds the coordinate, the end block the first.
     """
-    schema = f"{group} long, " + ", ".join(f"{c} long" for c in [*SOURCE, *TARGET])
+    carry = [c for c in ("range_id",) if c in ends.columns]
+    schema = ", ".join(f"{c} long" for c in [group, *carry, *SOURCE, *TARGET])
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         links = links_of(left)
         nodes = sorted({b for link in links for b in link})
         rows = []
-        for first, at, last, to in right[["start_node", "start_at", "end_node", "end_at"]].to_numpy().tolist():
+        for first, at, last, to, *own in right[["start_node", "start_at", "end_node", "end_at", *carry]].to_numpy().tolist():
             begin = [b for b in nodes if b[0] == first and b[1] <= at <= b[2]]
             end = [b for b in nodes if b[0] == last and b[1] <= to <= b[2]]
             if begin and end:
-                rows += [(key[0], *r) for r in link_rows(between(links, begin[-1], end[0]))]
+                rows += [(key[0], *own, *r) for r in link_rows(between(links, begin[-1], end[0]))]
         return pd.DataFrame(rows, columns=names)
 
     return pairs.select(group, *SOURCE, *TARGET).groupBy(group).cogroup(ends.groupBy(group)).applyInPandas(run, schema)
@@ -284,6 +286,35 @@ def enumerated(pairs: DataFrame, most: int = 1_000_000) -> DataFrame:
     return per_group(pairs, rows, f"path long, step long, {BLOCK}")
 
 
+def enumerated_links(pairs: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """(group, path, step, source and target block): the same paths by their links."""
+
+    def rows(links: list) -> Iterator[tuple]:
+        for k, path in enumerate(simple_paths(links, START, END, most)):
+            for step, (a, b) in enumerate(zip(path, path[1:])):
+                yield (k, step, *a, *b)
+
+    return per_group(pairs, rows, ", ".join(f"{c} long" for c in ["path", "step", *SOURCE, *TARGET]))
+
+
+def layout(pairs: DataFrame) -> DataFrame:
+    """(group, node_id, start, end, layer, row): each block's layer is the longest way to it, rows count the blocks of a layer."""
+
+    def rows(links: list) -> list[tuple]:
+        layer: dict = {}
+        into = successors([(b, a) for a, b in links if a != b])
+        for n in topological([link for link in links if link[0] != link[1]]):
+            layer[n] = max((layer[a] + 1 for a in into.get(n, ()) if a in layer), default=0)
+        seen: dict[int, int] = defaultdict(int)
+        out = []
+        for n in sorted(layer, key=lambda n: (layer[n], n)):
+            out.append((*n, layer[n], seen[layer[n]]))
+            seen[layer[n]] += 1
+        return out
+
+    return per_group(pairs, rows, f"{BLOCK}, layer long, row long")
+
+
 def cut_blocks(pairs: DataFrame) -> DataFrame:
     return per_group(pairs, articulation_points, BLOCK)
 

@@ -78,12 +78,38 @@ def missing_from(rows: DataFrame, table: DataFrame, key: list[str]) -> DataFrame
     return r.join(t, on, "left_anti")
 
 
+def resolved(table: DataFrame, rows: DataFrame, key: list[str], id_col: str = "id", buckets: int = BUCKETS) -> DataFrame:
+    """rows, in any order and with repeats, with the id that their key has, and existed: whether the table held it.
+
+    Rows and table meet once, by a bucket of the key's hash; what the table lacks is numbered there, from the highest id on,
+    as ``numbered`` does. Null equals null.
+    """
+    spare = [c for c in rows.columns if c not in key and c != id_col]
+    hashed = F.xxhash64(*key)
+    bucket = F.pmod(hashed, F.lit(buckets)).cast("int").alias("_bucket")
+    old = table.select(bucket, *key, F.col(id_col).alias("_old"), F.lit(None).alias("_rest"))
+    new = rows.select(bucket, *key, F.lit(None).cast("long").alias("_old"), F.struct(F.lit(0).alias("_"), *spare).alias("_rest"))
+    both = old.withColumn("_rest", F.lit(None).cast(new.schema["_rest"].dataType)).unionByName(new).repartition("_bucket")
+    same_key = W.partitionBy("_bucket", *key)
+    both = both.withColumn("_old", F.max("_old").over(same_key))
+    first = F.col("_old").isNull() & (F.row_number().over(same_key.orderBy(F.lit(0))) == 1)
+    both = both.withColumn("_first", first.cast("long"))
+    counts = both.groupBy("_bucket").agg(F.sum("_first").alias("_n"))  # a row for each bucket
+    before = counts.select("_bucket", (F.sum("_n").over(W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
+    # rows of one key are peers in this order, so all of them get the number of their first
+    place = F.sum("_first").over(W.partitionBy("_bucket").orderBy(*key))
+    top = next_id(table, id_col)
+    made = (F.lit(top) + F.col("_before") + place - 1).cast("long")
+    return (
+        both.join(F.broadcast(before), "_bucket")
+        .withColumn(id_col, F.coalesce("_old", made))
+        .where("_rest is not null")
+        .select(id_col, *key, *[F.col(f"_rest.{c}").alias(c) for c in spare], F.col("_old").isNotNull().alias("existed"))
+    )
+
+
 def get_or_create(table: DataFrame, rows: DataFrame, key: list[str], id_col: str = "id") -> tuple[DataFrame, DataFrame]:
     """(rows to append, with new ids; all rows, in any order and with repeats, with the id that their key now has)."""
-    new = numbered(missing_from(rows, table, key), key, id_col, next_id(table, id_col)).select(*table.columns)
-    whole = table.unionByName(new).select(id_col, *key).alias("w")
-    r = rows.drop(id_col).alias("r") if id_col in rows.columns else rows.alias("r")
-    on = F.lit(True)
-    for c in key:
-        on = on & F.col(f"r.{c}").eqNullSafe(F.col(f"w.{c}"))
-    return new, r.join(whole, on, "left").select(F.col(f"w.{id_col}").alias(id_col), "r.*")
+    every = resolved(table, rows, key, id_col)
+    new = every.where("not existed").dropDuplicates([id_col]).select(*table.columns)
+    return new, every.drop("existed")

@@ -82,7 +82,7 @@ def gfa_lines(p: Projected):
     e = p.edges()
     blocks = B.split(e)
     segments = sinks.segment_lines(blocks, p.node_sequences().select("node_id", "sequence"))
-    return segments.unionByName(sinks.link_lines(B.assemble(e, blocks)))
+    return segments.unionByName(sinks.link_lines(B.graph(e)))
 
 
 @query("""select path_id, 'P' || chr(9) || 'P-' || path_id || chr(9) || string_agg(node_id || '.0.' || length || strand, ',' order by idx) || chr(9) || '*' as line from steps group by path_id""")
@@ -175,10 +175,10 @@ def revert(p: Projected):
     return V.reverted(e, e.where("edge_id % 10000 >= 2000"), ["block_group_id", "edge_id"])
 
 
-@query("select distinct 'f' || o_custkey as file_path from orders where o_custkey % 4 <> 1 union select unnest(['gen.db', 'default.db'])")
+@query("select distinct 'f' || o_custkey as file_path from orders where o_custkey % 4 <> 1 union select unnest(['graph.db', 'default.db'])")
 def manifest_diff(p: Projected):
     files = p.raw("orders").select(F.concat(F.lit("f"), F.col("o_custkey").cast("string")).alias("file_path"), "o_custkey")
-    return V.new_files(files, files.where("o_custkey % 4 = 1"), ["gen.db", "default.db"])
+    return V.new_files(files, files.where("o_custkey % 4 = 1"), ["graph.db", "default.db"])
 
 
 @query("select count(*) as children from ops where parent_hash = 5 and hash not in (select hash from ops where hash % 7 = 3)")

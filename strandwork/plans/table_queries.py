@@ -120,9 +120,7 @@ def overlap_blocks(p: Projected):
 def upsert_edges_ordered(p: Projected):
     e = p.edges()
     table = J.numbered(e.where("block_group_id % 2 = 0").select(*EDGE_KEY).distinct(), EDGE_KEY).select("id", *EDGE_KEY)
-    new, every = J.get_or_create(table, e.select("block_group_id", "edge_id", *EDGE_KEY), EDGE_KEY)
-    fresh = new.select("id", F.lit(False).alias("_old"))
-    return every.join(fresh, "id", "left").select("block_group_id", "edge_id", F.coalesce("_old", F.lit(True)).alias("existed"))
+    return J.resolved(table, e.select("block_group_id", "edge_id", *EDGE_KEY), EDGE_KEY).select("block_group_id", "edge_id", "existed")
 
 
 @query("select block_group_id, edge_id % 7 as edge_id from edges where block_group_id % 4 <> 1 group by 1, 2 except select distinct block_group_id, edge_id % 7 from edges where chromosome_index = 1")

@@ -8,6 +8,9 @@ NO_LAYER = -1
 STRANDS = ("+", "-", ".", "?")
 FILE_TYPES = ("gb", "fasta", "gfa", "gaf", "vcf", "changeset", "csv", "none")
 
+#: Kinds of files by the last part of their names.
+FILE_KINDS = {"gb": "gb", "gbk": "gb", "genbank": "gb", "fa": "fasta", "fasta": "fasta", "fna": "fasta", "gfa": "gfa", "gaf": "gaf", "vcf": "vcf", "csv": "csv", "changeset": "changeset"}
+
 #: Data tables. Storage types are text and integer only.
 TABLES = {
     "collections": "name string",

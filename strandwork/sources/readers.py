@@ -10,10 +10,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-_WS = r"[ \t]+"
-
 
 def _unpacked(spark: SparkSession, path: str) -> DataFrame:
     """(value) of a blocked gzip file, one row a file (such files have no splits)."""
@@ -56,28 +55,67 @@ def fasta(spark: SparkSession, path: str) -> DataFrame:
     return r.select(name.alias("name"), F.regexp_replace(F.substring("value", F.length(head) + 1, F.length("value")), r"(?U)\s", "").alias("sequence"))
 
 
-def fasta_slices(sequences: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Slices (name, start, end) of external sequences, joined by name and cut in the scan's own tasks."""
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def fasta_index(spark: SparkSession, path: str) -> DataFrame | None:
+    """(name, length, offset, bases, width) of the index beside a FASTA file, if there is one."""
+    if not exists(spark, path + ".fai"):
+        return None
+    return spark.read.csv(path + ".fai", sep="\t", schema="name string, length long, offset long, bases long, width long")
+
+
+def fasta_slices(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """wanted (name, start, end, ...) with the slices [start, end) of an external file's sequences.
+
+    With an index of a plain file whose lines have one width, the file is read as lines numbered by their place in it, and
+    only the lines that slices need leave the scan: no sequence is put together. Else the records are joined by name.
+    """
     from strandwork.functions.scalars import slice_of
 
-    return wanted.join(sequences, "name").withColumn("sequence", slice_of("sequence", "start", "end"))
+    index = fasta_index(spark, path)
+    if index is None or path.endswith((".gz", ".bgz")):
+        return wanted.join(fasta(spark, path), "name").withColumn("sequence", slice_of("sequence", "start", "end"))
+    order = W.orderBy("offset")  # one row for each sequence of the index
+    index = index.withColumn("lines", F.ceil(F.col("length") / F.col("bases"))).withColumn("first", F.row_number().over(order) + F.coalesce(F.sum("lines").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    asked = wanted.withColumn("_row", F.struct(*[F.col(c) for c in wanted.columns])).join(index, "name")
+    low, high = F.greatest("start", F.lit(0)), F.least("end", "length")
+    asked = asked.withColumn("low", low).withColumn("high", high).where("low < high")
+    span = F.sequence(F.floor(F.col("low") / F.col("bases")), F.floor((F.col("high") - 1) / F.col("bases")))
+    pieces = asked.select("_row", "first", "bases", "low", "high", F.explode(span).alias("k")).withColumn("line", (F.col("first") + F.col("k")).cast("long"))
+    cut = pieces.join(numbered_lines(spark, path), "line")
+    a = F.greatest(F.col("low") - F.col("k") * F.col("bases"), F.lit(0))
+    b = F.least(F.col("high") - F.col("k") * F.col("bases"), F.col("bases"))
+    parts = cut.select("_row", "k", slice_of("value", a, b).alias("part"))
+    joined = parts.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("k", "part"))).alias("p"))
+    return joined.select("_row.*", F.array_join(F.transform("p", lambda x: x["part"]), "").alias("sequence"))
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line, value): a file's lines, counted from 0 in its order."""
+    text = lines(spark, path).select("value", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at"))
+    counts = text.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))  # a row for each split of the file
+    before = counts.select("_part", F.coalesce(F.sum("n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return text.join(F.broadcast(before), "_part").select((F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).alias("line"), "value")
 
 
 class Gfa:
-    """Tables of a GFA file, version 1 or 2: segments, links, steps of paths and walks."""
+    """Tables of a GFA file, version 1 or 2: segments, links, steps of paths and walks (line grows with the place in the file)."""
 
     def __init__(self, spark: SparkSession, path: str):
-        split = lines(spark, path).select(F.split(F.trim("value"), r"\s+").alias("c")).where("size(c) > 1")
+        split = lines(spark, path).select(F.split(F.trim("value"), r"\s+").alias("c"), F.monotonically_increasing_id().alias("line")).where("size(c) > 1")
         self.lines, c = split, F.col("c")
         tag = lambda t: split.where(c[0] == t)
         self.segments = tag("S").select(c[1].alias("segment"), F.when(self.version2(c), F.get(c, F.lit(3))).otherwise(c[2]).alias("sequence"))
         self.links = tag("L").select(c[1].alias("source"), c[2].alias("source_strand"), c[3].alias("target"), c[4].alias("target_strand"))
-        names = tag("P").select(c[1].alias("name"), F.posexplode(F.split(c[2], ",")).alias("step", "x"))
-        paths = names.select("name", "step", F.regexp_replace("x", "[+-]$", "").alias("segment"), F.right("x", F.lit(1)).alias("strand"))
+        names = tag("P").select("line", c[1].alias("name"), F.posexplode(F.split(c[2], ",")).alias("step", "x"))
+        paths = names.select("line", "name", F.lit(None).cast("string").alias("walk_sample"), "step", F.regexp_replace("x", "[+-]$", "").alias("segment"), F.right("x", F.lit(1)).alias("strand"))
         walks = tag("W").select(
-            F.concat_ws("#", c[1], c[2], c[3]).alias("name"), c[3].alias("contig"), F.posexplode(F.regexp_extract_all(c[6], F.lit(r"([><][^><]+)"), F.lit(1))).alias("step", "x")
+            "line", c[1].alias("walk_sample"), c[3].alias("contig"), F.posexplode(F.regexp_extract_all(c[6], F.lit(r"([><][^><]+)"), F.lit(1))).alias("step", "x")
         )
-        walks = walks.select(F.col("contig").alias("name"), "step", F.substring("x", 2, 1 << 30).alias("segment"), F.when(F.left("x", F.lit(1)) == "<", "-").otherwise("+").alias("strand"))
+        walks = walks.select("line", F.col("contig").alias("name"), "walk_sample", "step", F.substring("x", 2, 1 << 30).alias("segment"), F.when(F.left("x", F.lit(1)) == "<", "-").otherwise("+").alias("strand"))
         self.steps = paths.unionByName(walks)
 
     @staticmethod
@@ -90,10 +128,21 @@ class Gfa:
         return float(head.v) if head and head.v else 1.0
 
     def gaps(self) -> DataFrame:
-        """Numbers between the smallest and the largest numeric segment id that no segment has."""
-        n = self.segments.select(F.col("segment").cast("long").alias("n")).where("n is not null")
-        bound = n.agg(F.min("n").alias("a"), F.max("n").alias("b")).where("a is not null")
-        return bound.select(F.explode(F.sequence("a", "b")).alias("n")).join(n, "n", "left_anti")
+        """(first, last): runs of numbers between the smallest and the largest numeric segment id that no segment has."""
+        n = self.segments.select(F.col("segment").cast("long").alias("n")).where("n is not null").distinct()
+        # neighbours meet in blocks of numbers; each block's last number is carried to the next one that has any
+        block = n.withColumn("block", F.floor(F.col("n") / 65536))
+        inside = block.withColumn("before", F.lag("n").over(W.partitionBy("block").orderBy("n")))
+        ends = block.groupBy("block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+        across = ends.withColumn("before", F.lag("high").over(W.orderBy("block"))).select("before", F.col("low").alias("n"))  # a row for each block
+        return inside.select("before", "n").unionByName(across).where("n - before > 1").select((F.col("before") + 1).alias("first"), (F.col("n") - 1).alias("last"))
+
+    def ids_are_numbers(self) -> bool:
+        return self.segments.where(~F.col("segment").rlike(r"^\d+$")).isEmpty()
+
+    def ids_are_compact(self) -> bool:
+        """Whether the segment ids are the numbers from the smallest to the largest."""
+        return self.ids_are_numbers() and self.gaps().isEmpty()
 
     def haplotypes(self) -> DataFrame:
         """(genome, haplotype, contigs): paths named genome#haplotype#contig."""
@@ -119,12 +168,12 @@ def vcf(spark: SparkSession, path: str) -> DataFrame:
 
 
 def gaf(spark: SparkSession, path: str) -> DataFrame:
-    """(query, side, path, path_start, path_end, matches, strand): alignments of flanks named <id>_left and <id>_right."""
+    """(line, query, side, path, path_start, path_end, matches, strand): alignments of flanks named <id>_left and <id>_right."""
     c = F.split("value", "\t")
-    rows = lines(spark, path).where(F.size(c) >= 12)
+    rows = lines(spark, path).select("value", F.monotonically_increasing_id().alias("line")).where(F.size(c) >= 12)
     q = c[0]
     return rows.select(
-        F.regexp_replace(q, "_(left|right)$", "").alias("query"), F.regexp_extract(q, "_(left|right)$", 1).alias("side"), c[4].alias("strand"),
+        "line", F.regexp_replace(q, "_(left|right)$", "").alias("query"), F.regexp_extract(q, "_(left|right)$", 1).alias("side"), c[4].alias("strand"),
         c[5].alias("path"), c[7].cast("long").alias("path_start"), c[8].cast("long").alias("path_end"), c[9].cast("long").alias("matches"),
     ).where("side <> ''")
 
@@ -136,10 +185,13 @@ def gaf_steps(rows: DataFrame) -> DataFrame:
 
 
 def anchors(spark: SparkSession, path: str) -> DataFrame:
-    """(id, left, sequence, right) of a CSV with a header; a missing id is made of the row itself."""
+    """(id, left, sequence, right) of a CSV with a header; a missing id is made of the row's number, from 0."""
     rows = spark.read.csv(path, header=True, schema="id string, left string, sequence string, right string", enforceSchema=False)
-    made = F.concat(F.lit("_gen_"), F.hex(F.xxhash64("left", "sequence", "right")))
-    return rows.select(F.coalesce("id", made).alias("id"), *[F.coalesce(x, F.lit("")).alias(x) for x in ("left", "sequence", "right")])
+    held = rows.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    counts = held.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))  # a row for each split of the file
+    before = counts.select("_part", F.coalesce(F.sum("n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    number = (F.col("_before") + F.col("_at")).cast("string")
+    return held.join(F.broadcast(before), "_part").select(F.coalesce("id", F.concat(F.lit("_gen_"), number)).alias("id"), *[F.coalesce(x, F.lit("")).alias(x) for x in ("left", "sequence", "right")])
 
 
 def library(spark: SparkSession, path: str) -> DataFrame:
