@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from strandwork.llm.learning import Adam, fold, labelled_sample, logistic, sigmoid
 from strandwork.llm.shared import as_bytes, concat_ranges, steps, words
@@ -344,14 +345,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SA
 
 
 def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """(id, score) of each row, and the columns to carry."""
-    held = docs.sparkSession.sparkContext.broadcast(net)  # bounded: fixed tables of some 1 MB
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), as_bytes(text_col).alias("text"), *[F.col(f"`{c}`").alias(f"_{c}") for c in carry])
+    """(id, score) of each row, and the columns to carry, as _column. A text that is carried is not sent a second time."""
+    held = docs.sparkSession.sparkContext.broadcast(net)  # bounded: fixed tables, and a number for each word of the sample
+    read = f"_{text_col}" if text_col in carry and docs.schema[text_col].dataType == StringType() else "text"
+    own = [] if read != "text" else [as_bytes(text_col).alias("text")]
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), *own, *[F.col(f"`{c}`").alias(f"_{c}") for c in carry])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(held.value)
-        for batch in steps(batches, most=1 << 20):
-            got = scorer.scores(batch.column("text").to_pylist())
+        for batch in steps(batches, read, most=1 << 20):
+            got = scorer.scores([t or b"" for t in batch.column(read).cast(pa.binary()).to_pylist()])
             rest = [k for k, n in enumerate(batch.schema.names) if n not in ("id", "text")]
             yield pa.record_batch(
                 [batch.column("id"), pa.array(got, pa.float64()), *[batch.column(k) for k in rest]],
