@@ -12,6 +12,48 @@ HEADLINE = [
 ]
 
 
+#: Letters of the sequence and records of the variant file that the flows are timed on.
+LETTERS, RECORDS = 50_000_000, 100_000
+
+
+def flows(spark) -> dict[str, float]:
+    """Seconds of an import of a chromosome's size, whole and without its sequence, and of an update by 100,000 variants of one sample."""
+    import shutil
+    import tempfile
+
+    import numpy as np
+
+    from strandwork.repository import Repository
+
+    folder = tempfile.mkdtemp(prefix="strandwork-bench-")
+    try:
+        rng = np.random.default_rng(1)
+        letters = np.frombuffer(b"ACGT", np.uint8)[rng.integers(0, 4, LETTERS)]
+        wide = letters.reshape(-1, 50)
+        with open(f"{folder}/chr.fa", "wb") as f:
+            f.write(b">chr22\n" + np.hstack([wide, np.full((len(wide), 1), 10, np.uint8)]).tobytes())
+        with open(f"{folder}/chr.fa.fai", "w") as f:
+            f.write(f"chr22\t{LETTERS}\t7\t50\t51\n")
+        at = np.sort(rng.choice(LETTERS - 2, RECORDS, replace=False)) + 1
+        text = letters.tobytes().decode()
+        other = {"A": "C", "C": "G", "G": "T", "T": "A"}
+        with open(f"{folder}/calls.vcf", "w") as f:
+            f.write("##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tHG1\n")
+            f.writelines(f"chr22\t{p}\t.\t{text[p - 1]}\t{other[text[p - 1]]}\t9\tPASS\t.\tGT\t0|1\n" for p in at.tolist())
+        out = {}
+        for name, shallow in (("import_shallow", True), ("import_full", False)):
+            repo = Repository(spark, f"file://{folder}/{name}")
+            began = time.time()
+            repo.import_fasta(f"{folder}/chr.fa", "bench", shallow=shallow)
+            out[name] = round(time.time() - began, 3)
+        began = time.time()
+        repo.update_vcf(f"{folder}/calls.vcf", "bench")
+        out["vcf_100k"] = round(time.time() - began, 3)
+        return out
+    finally:
+        shutil.rmtree(folder)
+
+
 def main() -> None:
     root = os.path.dirname(os.path.abspath(__file__))
     os.environ["PYTHONPATH"] = root + os.pathsep + os.environ.get("PYTHONPATH", "")
@@ -38,6 +80,7 @@ def main() -> None:
         began = time.time()
         catalog.QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
         found[name] = round(time.time() - began, 3)
+    found |= flows(spark)
     print(json.dumps({"metric": "headline_total", "value": round(sum(found.values()), 3), "unit": "sec", "queries": found, "sf": os.path.basename(sf.rstrip("/"))}))
 
 
