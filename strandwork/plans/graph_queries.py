@@ -141,6 +141,22 @@ def simple_paths(p: Projected):
     return got.groupBy("block_group_id", "path").agg(F.rtrim(P.joined_in_order("step", "t")).alias("walk")).select("block_group_id", "walk")
 
 
+@query(f"""with recursive {_WALKS.format(t='pairs')} select block_group_id, array_to_string([seen[i] || '>' || seen[i + 1] for i in range(1, len(seen))], ' ') as links from paths where node_id = 2""")
+def simple_paths_by_link(p: Projected):
+    got = G.enumerated_links(B.graph(p.edges()))
+    link = F.concat(segment_id("source_node_id", "source_start", "source_end"), F.lit(">"), segment_id("target_node_id", "target_start", "target_end"), F.lit(" "))
+    return got.withColumn("t", link).groupBy("block_group_id", "path").agg(F.rtrim(P.joined_in_order("step", "t")).alias("links")).select("block_group_id", "links")
+
+
+@query(f"""with recursive {_LINKS}, apart as (select * from lk where (a, a0) <> (b, b0)), every as (select g, a as n, a0 as n0, a1 as n1 from lk union select g, b, b0, b1 from lk),
+ depth as (select g, n, n0, 0 as d from every where not exists (select 1 from apart x where x.g = every.g and x.b = every.n and x.b0 = every.n0)
+ union select x.g, x.b, x.b0, d + 1 from depth join apart x on x.g = depth.g and x.a = depth.n and x.a0 = depth.n0),
+ longest as (select g, n, n0, max(d) as layer from depth group by 1, 2, 3)
+ select e.g as block_group_id, e.n as node_id, e.n0 as start, e.n1 as "end", layer, row_number() over (partition by e.g, layer order by e.n, e.n0, e.n1) - 1 as row from every e join longest l on l.g = e.g and l.n = e.n and l.n0 = e.n0""")
+def graph_layout(p: Projected):
+    return G.layout(B.graph(p.edges()))
+
+
 @query(f"""with recursive fwd as (select distinct block_group_id, 1::bigint as node_id, 0::bigint as start from pairs union select k.block_group_id, k.target_node_id, k.target_start from fwd w join pairs k on k.block_group_id = w.block_group_id and k.source_node_id = w.node_id and k.source_start = w.start),
  back as (select distinct block_group_id, 2::bigint as node_id, 0::bigint as start from pairs union select k.block_group_id, k.source_node_id, k.source_start from back w join pairs k on k.block_group_id = w.block_group_id and k.target_node_id = w.node_id and k.target_start = w.start),
  inn as (select * from fwd intersect select * from back)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from strandwork.operators import blocks as B
 from strandwork.operators import joins as J
 from strandwork.operators import updates as U
+from strandwork.operators import versions as V
 from strandwork.plans.project import Projected
 from strandwork.plans.register import query
 from strandwork.schema import EDGE_KEY
@@ -119,7 +120,7 @@ def overlap_blocks(p: Projected):
  and e.source_strand = o.source_strand and e.target_node_id = o.target_node_id and e.target_coordinate = o.target_coordinate and e.target_strand = o.target_strand""")
 def upsert_edges_ordered(p: Projected):
     e = p.edges()
-    table = J.numbered(e.where("block_group_id % 2 = 0").select(*EDGE_KEY).distinct(), EDGE_KEY).select("id", *EDGE_KEY)
+    table = V.written(p.spark, J.numbered(e.where("block_group_id % 2 = 0").select(*EDGE_KEY).distinct(), EDGE_KEY).select("id", *EDGE_KEY))
     return J.resolved(table, e.select("block_group_id", "edge_id", *EDGE_KEY), EDGE_KEY).select("block_group_id", "edge_id", "existed")
 
 

@@ -1 +1 @@
-
+"""Repositories that follow a folder as files arrive."""

@@ -14,7 +14,7 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 CHOSEN = [
     "path_sequence", "seq_identity_hash", "genotype_parse", "range_overlap_wrap", "merge_contiguous", "upsert_edges_ordered", "block_split", "prune_edges", "path_replace_span",
     "block_mappings", "propagate_annotations", "op_upstream", "changeset_dependencies", "simple_paths", "flatten_intervals", "flatten_unambiguous", "all_sequences",
-    "library_edges", "library_size", "project_path", "derive_subgraph", "articulation", "cycle_breaks", "strip_ws", "accession_edges", "change_to_edges",
+    "library_edges", "library_size", "project_path", "derive_subgraph", "simple_paths_by_link", "graph_layout", "articulation", "cycle_breaks", "strip_ws", "accession_edges", "change_to_edges",
 ]
 
 
