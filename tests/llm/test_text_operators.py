@@ -253,7 +253,10 @@ def test_personal_data_frames(spark):
     assert pii.find(docs).count() == len(ODD) + 2
     got = {(r.doc_id, r.text) for r in pii.mask(docs).collect()}
     assert (len(ODD), "mail <email> now") in got and (0, None) in got
-    assert pii.find(docs.limit(0)).collect() == []
+    assert pii.find(docs.limit(0)).collect() == [] and pii.mask(docs.limit(0)).collect() == []
+    clash = spark.createDataFrame([(1, "me@x.org", "r", "m", 8), (1, "plain", "r", "m", 5)], "doc_id long, text string, row string, masked string, n_chars int")
+    got = sorted(map(tuple, pii.mask(clash, length_col="n_chars").collect()))
+    assert got == [(1, "<email>", "r", "m", 7), (1, "plain", "r", "m", 5)] and pii.mask(clash).columns == clash.columns
 
 
 def test_bpe():
