@@ -10,6 +10,8 @@ from strandwork.llm.shared import as_bytes
 
 #: Bytes of all texts of a labelled sample.
 SAMPLE_TOTAL = 32 << 20
+#: Labelled ids of a class that are looked up, for each row of the sample.
+AHEAD = 2
 
 
 def fold(id_col: str, parts: int) -> Column:
@@ -30,9 +32,9 @@ def labelled_sample(
 ) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Texts, labels (0 or 1) and weights that the model is fitted on.
 
-    Bounds: at most ``rows`` documents, half of each class, and at most ``total_bytes`` bytes, half of each class. Texts
-    of at most ``most_bytes`` bytes come first, then longer ones fill what is left, both in the order of a hash of their
-    ids. The weights restore the share of each class among all labelled rows that may be learned from.
+    Bounds: at most ``rows`` documents, half of each class, and at most ``total_bytes`` bytes, half of each class, out of
+    the first AHEAD * rows labelled ids of each class in the order of a hash of the id. Texts of at most ``most_bytes``
+    bytes come first, then longer ones fill what is left, both in that order. The weights restore the share of each class among all labelled rows that may be learned from.
     """
     marked = (
         labels.where(learn)
@@ -42,9 +44,12 @@ def labelled_sample(
     )
     counts = {r.y: r["n"] for r in marked.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     texts = docs.select(F.col(id_col).cast("long").alias("id"), as_bytes(text_col).alias("text"))
+    by_hash = [F.xxhash64("id"), F.col("id")]
+    first = [marked.where(F.col("y") == value).orderBy(*by_hash).limit(AHEAD * rows) for value in (0, 1)]
     # ids and lengths alone meet the labels; of rows that share an id the shortest text speaks for it
-    sized = texts.groupBy("id").agg(F.min(F.octet_length("text")).alias("size")).join(marked.hint("shuffle_hash"), "id")  # two numbers a label
-    order = [(F.col("size") > most_bytes).alias("long"), F.xxhash64("id"), F.col("id")]
+    ids = F.broadcast(first[0].unionByName(first[1]))  # at most 2 * AHEAD * rows
+    sized = texts.select("id", F.octet_length("text").alias("size")).join(ids, "id").groupBy("id").agg(F.min("size").alias("size"), F.max("y").alias("y"))
+    order = [(F.col("size") > most_bytes).alias("long"), *by_hash]
     found, y = [], []
     for value in (0, 1):
         chosen = sized.where(F.col("y") == value).orderBy(*order).limit(rows // 2).select("id", "size").collect()

@@ -67,10 +67,12 @@ def test_near_duplicates(spark, bucket, monkeypatch):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [0, 200_000])
+def test_components(spark, small):
     chain = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 102), (102, 100), (7, 7)]
-    got = {r.node: r.root for r in components.components(spark, spark.createDataFrame(chain, "a long, b long")).collect()}
+    got = {r.node: r.root for r in components.components(spark, spark.createDataFrame(chain, "a long, b long"), small=small).collect()}
     assert got == {k: 0 for k in range(1, 41)} | {101: 100, 102: 100}
+    assert components.components(spark, spark.createDataFrame([(3, 3)], "a long, b long"), small=small).collect() == []
 
 
 def tokens(text):
