@@ -196,25 +196,37 @@ def candidates(rows: DataFrame, first_only: bool) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def verified(docs: DataFrame, pairs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(a, b): the pairs whose sets have a similarity of LEAST or more."""
+def spread(rows: DataFrame) -> DataFrame:
+    """Small rows of many tasks, dealt evenly to as few as they need: few files, however many the texts have."""
+    return rows.withColumn("_row", F.monotonically_increasing_id()).repartition("_row").drop("_row")
+
+
+def named_sets(docs: DataFrame, pairs: DataFrame, what: str, id_col: str, text_col: str) -> DataFrame:
+    """(id, n, what) of the sets that pairs name, and of some more: size, and counts by FINE classes (fine) or hashes (found)."""
     spark = docs.sparkSession
     bit = F.pmod(F.xxhash64("id"), F.lit(BITS))
     named = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(bit.alias("bit"))
     words = named.groupBy(F.floor(F.col("bit") / 32).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 32 as int)))").alias("value")).collect()
-    bitmap = np.zeros(BITS // 32, np.uint32)
-    for r in words:
-        bitmap[r.word] = r.value
-    bitmap = spark.sparkContext.broadcast(bitmap)
+    held = np.zeros(BITS // 32, np.uint32)
+    for r in words:  # at most BITS / 32 rows
+        held[r.word] = r.value
+    bitmap = spark.sparkContext.broadcast(held)
 
-    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.column("bit").to_numpy()
             batch = batch.filter(pa.array((bitmap.value[at // 32] >> (at % 32).astype(np.uint32) & 1).astype(bool)))
             for part in steps([batch]):
-                found = [shingles(t) for t in part.column("text").to_pylist()]
-                sizes, fine = pa.array([len(f) for f in found], pa.int64()), binary([classes(f, FINE) for f in found])
-                yield pa.record_batch([part.column("id"), sizes, fine, binary([f.tobytes() for f in found])], names=["id", "n", "fine", "found"])
+                every = [shingles(t) for t in part.column("text").to_pylist()]
+                rows = binary([classes(f, FINE) if what == "fine" else f.tobytes() for f in every])
+                yield pa.record_batch([part.column("id"), pa.array([len(f) for f in every], pa.int64()), rows], names=["id", "n", what])
+
+    made = _texts(docs, id_col, text_col).withColumn("bit", bit).mapInArrow(run, f"id long, n long, {what} binary")
+    return kept(spread(made), f"near-{what}")
+
+
+def verified(docs: DataFrame, pairs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(a, b): the pairs whose sets have a similarity of LEAST or more."""
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,15 +243,17 @@ def verified(docs: DataFrame, pairs: DataFrame, id_col: str = "doc_id", text_col
                 ok.append(bool(len(x) and len(y)) and len(np.intersect1d(x, y, assume_unique=True)) >= least_common(len(x), len(y)))
             yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
-    sets = kept(_texts(docs, id_col, text_col).withColumn("bit", bit).mapInArrow(chosen, "id long, n long, fine binary, found binary"), "near-sets")
+    sets = named_sets(docs, pairs, "fine", id_col, text_col)
     one = pairs.join(sets.select(F.col("id").alias("a"), "n", F.col("fine").alias("x")), "a")
     both = one.join(sets.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("fine").alias("y")), "b")
-    pairs = kept(both.select("a", "b", "n", "m", "x", "y").mapInArrow(likely, "a long, b long").distinct(), "near-likely")
-    one = pairs.join(sets.select(F.col("id").alias("a"), F.col("found").alias("x")), "a")
+    close = kept(both.select("a", "b", "n", "m", "x", "y").mapInArrow(likely, "a long, b long").distinct(), "near-likely")
+    forget(sets)
+    sets = named_sets(docs, close, "found", id_col, text_col)  # the whole sets of what the counts leave
+    one = close.join(sets.select(F.col("id").alias("a"), F.col("found").alias("x")), "a")
     both = one.join(sets.select(F.col("id").alias("b"), F.col("found").alias("y")), "b")
     out = kept(both.select("a", "b", "x", "y").mapInArrow(near, "a long, b long").distinct(), "near-links")
     forget(sets)
-    forget(pairs)
+    forget(close)
     return out
 
 
@@ -256,7 +270,7 @@ def several(sets: DataFrame, nodes: DataFrame) -> DataFrame | None:
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 2) -> DataFrame:
     """(id, component) of each row whose id is not null; component is the smallest id that near copies reach, itself included."""
     spark = docs.sparkSession
-    every = kept(facts(docs, id_col, text_col), "near-facts")
+    every = kept(spread(facts(docs, id_col, text_col)), "near-facts")
     counted = every.where("texts is not null").groupBy("shingle").agg(F.sum("texts").alias("texts"))
     most = counted.orderBy(F.desc("texts"), "shingle").limit(KNOWN).select("shingle").collect()
     last = np.sort(np.array([r.shingle for r in most], np.int64))
