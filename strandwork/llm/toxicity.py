@@ -6,7 +6,8 @@ n-gram; the others are learned. While fitting, a text sees the odds that the tex
 sample give, so the network learns how far odds can be trusted on texts that had no part in them.
 
 The network reads overlapping windows of words in both directions, attention pools a window's states into one
-logit, and a text's score comes from its highest window; all windows of the whole text are scored.
+logit, and a text's score comes from its highest window; all windows of the whole text are scored. NETWORKS such networks,
+which differ in their first weights and in the windows that they saw, give the mean of their logits.
 
 Only texts are inputs. The fit sees a bounded sample of labelled rows (see ``fit``); in a toxic text it learns from
 the windows that score highest so far, in a clean one from all. Null and empty texts have the lowest score that the
@@ -33,6 +34,7 @@ HIDDEN, WORD_DIM, CHAR_DIM = 8, 6, 6
 WORD_ROWS, CHAR_ROWS = 1 << 14, 1 << 15
 #: Parts of the sample, and texts that odds must outweigh.
 FOLDS, SHRINK = 8, 7.0
+NETWORKS = 2
 GRAMS = (3, 4, 5)
 #: Bounds of the labelled sample.
 SAMPLE_ROWS, SAMPLE_BYTES = 4000, 1 << 13
@@ -115,6 +117,7 @@ class Network:
         self.odds = {"word": np.zeros(1, np.float32), "char": np.zeros(CHAR_ROWS, np.float32)}
         self.calibrated = np.array([1.0, 0.0])
         self.constant: float | None = None
+        self.others: list[Network] = []
 
     def inputs(self, word: np.ndarray, rows: np.ndarray, counts: np.ndarray, odds: dict[str, np.ndarray] | None = None) -> np.ndarray:
         """Inputs of words; ``odds`` are those of a part of the sample, else those of all of it."""
@@ -204,7 +207,18 @@ class Network:
         return grads, d_x
 
 
-def train(texts: list[bytes], y: np.ndarray, weights: np.ndarray, seed: int = 7) -> Network:
+def train(texts: list[bytes], y: np.ndarray, weights: np.ndarray, seed: int = 7, networks: int = NETWORKS) -> Network:
+    """A network, and in its ``others`` those that score beside it."""
+    net = train_one(texts, y, weights, seed)
+    if net.constant is None:
+        for k in range(1, networks):
+            other = train_one(texts, y, weights, seed + k)
+            other.words, other.odds = net.words, net.odds  # equal, and so sent once
+            net.others.append(other)
+    return net
+
+
+def train_one(texts: list[bytes], y: np.ndarray, weights: np.ndarray, seed: int) -> Network:
     net = Network(seed)
     if len(set(y.tolist())) < 2:
         net.constant = float(y.mean()) if len(y) else 0.0
@@ -305,15 +319,15 @@ def net_scores(net: Network, grid: np.ndarray, gates: np.ndarray, pad: int, most
 
 
 class Scorer:
-    """A fitted network with a bounded memory of words."""
+    """Fitted networks with a bounded memory of words."""
 
     def __init__(self, net: Network):
-        self.net = net
+        self.net, self.nets = net, [net, *net.others]
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.gates = np.zeros((2, 0, 3 * HIDDEN), np.float32)
+        self.gates = [np.zeros((2, 0, 3 * HIDDEN), np.float32) for _ in self.nets]
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         if self.net.constant is not None:
@@ -328,15 +342,16 @@ class Scorer:
                 own[k] = known.setdefault(found[k], len(known))
             ids.append(own)
         if len(known) > size:
-            new = list(known)[size:]
-            self.gates = np.concatenate([self.gates, self.net.projected(self.net.inputs(*word_features(new)))], axis=1)
+            new = word_features(list(known)[size:])
+            self.gates = [np.concatenate([g, net.projected(net.inputs(*new))], axis=1) for g, net in zip(self.gates, self.nets)]
         grid, counts = windows_of(ids, len(known))
-        highest = np.maximum.reduceat(net_scores(self.net, grid, self.gates, len(known)), np.cumsum(counts) - counts)
-        a, b = self.net.calibrated
-        out = sigmoid(a * np.clip(highest, -12, 12) + b)
         empty = np.array([len(x) == 0 for x in ids])
-        out[empty] = sigmoid(np.array(-12 * abs(a) + b))
-        return out
+        total = np.zeros(len(texts))
+        for net, gates in zip(self.nets, self.gates):
+            highest = np.maximum.reduceat(net_scores(net, grid, gates, len(known)), np.cumsum(counts) - counts)
+            a, b = net.calibrated
+            total += np.where(empty, -12 * abs(a) + b, a * np.clip(highest, -12, 12) + b)
+        return sigmoid(total / len(self.nets))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES, id_col: str = "doc_id", text_col: str = "text") -> Network:
@@ -346,7 +361,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SA
 
 def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """(id, score) of each row, and the columns to carry, as _column. A text that is carried is not sent a second time."""
-    held = docs.sparkSession.sparkContext.broadcast(net)  # bounded: fixed tables, and a number for each word of the sample
+    held = docs.sparkSession.sparkContext.broadcast(net)  # bounded: fixed tables, and two numbers for each word of the sample
     read = f"_{text_col}" if text_col in carry and docs.schema[text_col].dataType == StringType() else "text"
     own = [] if read != "text" else [as_bytes(text_col).alias("text")]
     plain = docs.select(F.col(id_col).cast("long").alias("id"), *own, *[F.col(f"`{c}`").alias(f"_{c}") for c in carry])
