@@ -78,3 +78,16 @@ def test_flatten_intervals(spark):
     many = rows(G.placements(frame(spark, {1: ladder(40)})))  # 2 ** 40 walks
     last = sorted(r[4] for r in many if r[1] == 12 + 3 * 39)
     assert last == list(range(40 * 2 + 39, 40 * 3 + 40))
+
+
+def test_flatten_unambiguous(spark):
+    no_call_a_group(spark, "flatten_unambiguous")
+    graphs, want = random_graphs(300), set()
+    for k, links in graphs.items():
+        by = {}
+        for f in placed(links):
+            by.setdefault(f[0], []).append(f)
+        for v in by.values():
+            if not any(x != y and (x[1] < y[2] and y[1] < x[2] or x[3] < y[4] and y[3] < x[4]) for x in v for y in v):
+                want |= {(k, *f) for f in v}
+    assert want and rows(G.placements(frame(spark, graphs), drop_ambiguous=True)) == want
